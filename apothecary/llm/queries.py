@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apothecary.llm import fingerprints, packing, suffix_dedup, token_counts
+from apothecary.llm import fingerprints, packing, quality, suffix_dedup, token_counts
 from apothecary.llm.common import public_tokenizer, table
 
 
@@ -17,6 +17,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -27,7 +31,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op8_suffix_dedup": op8_suffix_dedup, "op10_imatch": op10_imatch}
+    return {"op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict:
