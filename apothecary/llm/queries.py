@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apothecary.llm import fingerprints, packing, quality, suffix_dedup, token_counts
+from apothecary.llm import fingerprints, jaccard, packing, quality, suffix_dedup, token_counts
 from apothecary.llm.common import public_tokenizer, table
 
 
@@ -26,12 +26,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")).drop("edited")
 
 
 def queries() -> dict:
-    return {"op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op10_imatch": op10_imatch}
+    return {"op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict:
