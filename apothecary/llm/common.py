@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +19,28 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in the shared folder that the session names.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local one is set only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
 
-    A local folder is set only where the session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage as a Parquet table in the shared folder: smaller than a checkpoint."""
+    path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,14 +7,16 @@ counts through their pre-token frequencies and the products are summed.
 from __future__ import annotations
 
 import os
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apothecary.llm.common import checkpointed, chosen
+from apothecary.llm.common import chosen, stored
 from apothecary.llm.pretokens import units
 
 _FLUSH = 400_000
@@ -44,7 +46,11 @@ def _keys(text: str, space: str) -> Counter:
     return found
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, head: int = 100_000) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, head: int = 200_000) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_bytes, n_tokens and over_limit.
 
     ``path`` is a vocabulary file: ``.json`` for the tokenizers library,
@@ -79,8 +85,16 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count(batch.column(0).to_pylist()), pa.int64())], names=["piece", "freq", "n"])
 
     vocabulary = docs.select("text").mapInArrow(frequencies, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
-    vocabulary = checkpointed(vocabulary.mapInArrow(encode, "piece string, freq long, n long"))
-    frequent = vocabulary.orderBy(F.desc("freq"), "piece").limit(head).select("piece", "n").collect()
+    vocabulary = stored(vocabulary.mapInArrow(encode, "piece string, freq long, n long"))
+    # The least frequency that leaves at most ``head`` pre-tokens, by half powers of two.
+    step = F.floor(2 * F.log2("freq")).cast("int").alias("step")
+    above, least = 0, None
+    for r in vocabulary.groupBy(step).count().orderBy(F.desc("step")).collect():  # at most 128 rows
+        above += r["count"]
+        if above > head:
+            break
+        least = r["step"]
+    frequent = vocabulary.where(F.floor(2 * F.log2("freq")) >= least).select("piece", "n").collect() if least is not None else []
     known = spark.sparkContext.broadcast({r.piece: r.n for r in frequent})
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,32 +104,31 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out: dict = {"row": [], "doc_id": [], "n_bytes": [], "piece": [], "freq": []}
+                out: dict = {"row": [], "doc_id": [], "n_bytes": [], "piece_hash": [], "amount": []}
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     total, rare = 0, []
                     for piece, freq in _keys(text or "", space).items():
                         n = counts.get(piece)
                         if n is None:
-                            rare.append((piece, freq))
+                            rare.append((piece.encode(), freq))
                         else:
                             total += n * freq
-                    # The document's own row matches no piece; its key is spread so that such rows don't meet.
-                    n_bytes = len((text or "").encode())
+                    # The document's own row comes first; its hash only spreads it.
                     out["row"] += [row] * (1 + len(rare))
                     out["doc_id"] += [doc_id] + [None] * len(rare)
-                    out["n_bytes"] += [n_bytes] + [None] * len(rare)
-                    out["piece"] += [f" \x00 {row % 4093}"] + [p for p, _ in rare]
-                    out["freq"] += [total] + [f for _, f in rare]
+                    out["n_bytes"] += [len((text or "").encode())] + [None] * len(rare)
+                    out["piece_hash"] += [row * 0x5DEECE66D % (1 << 60)] + [_signed(xxhash.xxh64_intdigest(p, 42)) for p, _ in rare]
+                    out["amount"] += [total << 17 | 1 << 16] + [f << 17 | zlib.crc32(p) & 65535 for p, f in rare]
                     row += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["row"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["piece"], pa.string()), pa.array(out["freq"], pa.int64())],
-                    names=list(out),
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_document, "row long, doc_id long, n_bytes long, piece string, freq long")
-    joined = rows.join(vocabulary.select("piece", "n"), "piece", "left")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_document, "row long, doc_id long, n_bytes long, piece_hash long, amount long")
+    # Pre-tokens meet by 80 bits of hash; bit 16 marks a document's own row, which meets none.
+    hashed = vocabulary.select(F.xxhash64("piece").alias("piece_hash"), F.crc32(F.encode("piece", "UTF-8")).bitwiseAND(65535).alias("tag"), "n")
+    joined = rows.withColumn("tag", F.col("amount").bitwiseAND(131071)).join(hashed, ["piece_hash", "tag"], "left")
+    tokens = F.shiftright("amount", 17) * F.coalesce("n", F.lit(1))
     return (
         joined.groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("freq") * F.coalesce("n", F.lit(1))).alias("n_tokens"))
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(tokens).alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
