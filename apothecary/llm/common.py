@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,3 +50,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def chosen(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns never clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+class Bits:
+    """A bitmap of fixed size (2 ** ``log2`` bits) over the low bits of a column of hashes.
+
+    It thins what a join would shuffle before the exact join: a hash whose bit
+    is not set has no match. Its size does not grow with the data; where it
+    fills up it thins less and nothing is lost.
+    """
+
+    def __init__(self, df: DataFrame, column: str, log2: int):
+        slot = (F.col(column).bitwiseAND((1 << log2) - 1) + 1).alias("slot")
+        parts = df.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+        bits = bytearray(max(1, 1 << log2 >> 3))
+        for r in parts.collect():  # at most 2 ** (log2 - 15) rows of 4 KB
+            low = (r["part"] - 1) * 4096
+            bits[low : low + 4096] = r["bits"][: len(bits) - low]
+        self.log2, self._shared = log2, df.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        bits = np.frombuffer(self._shared.value, dtype=np.uint8)
+        slots = hashes & ((1 << self.log2) - 1)
+        return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+    def column(self, name: str) -> Column:
+        """Whether a column's hash may be among those seen."""
+        has = self.has
+
+        @F.pandas_udf("boolean")
+        def seen(hashes: pd.Series) -> pd.Series:
+            return pd.Series(has(hashes.to_numpy(dtype=np.int64)))
+
+        return seen(F.col(name))

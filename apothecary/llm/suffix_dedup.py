@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apothecary.llm.common import checkpointed, chosen, shuffle_partitions
+from apothecary.llm.common import Bits, chosen, shuffle_partitions, stored
 
 _Q = 32
 _FIRST = -(2**63)  # the order of a null id
@@ -116,8 +116,11 @@ def _groups(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBat
         yield batch.slice(at)
 
 
-def _anchors(length: int):
-    """Rows (kind 0: anchors; 1: settled repeats; 2: of a row given twice) of key, tag, start and the number of starts."""
+def _anchors(length: int, shared: Bits | None = None):
+    """Rows (kind 0: anchors; 1: settled repeats) of bucket, range, key, start, number of starts and tag.
+
+    With ``shared``, of the anchors only those whose bucket may hold others.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +135,13 @@ def _anchors(length: int):
                 order = np.lexsort((start, tag, key, ranged, bucket))
                 columns = [x[order] for x in (bucket, ranged, key, tag, start)]
                 equal = [np.r_[False, x[1:] == x[:-1]] if len(x) else np.zeros(0, dtype=bool) for x in columns]
-                again = equal[0] & equal[1]  # a later member of its class
-                copy = again & equal[2] & equal[3] & equal[4]  # a row given twice
-                kind = np.zeros(len(order), dtype=np.int64)
-                kind[order[again]], kind[order[copy]] = 1, 2
+                member = equal[0] & equal[1]  # not the first of its class
+                head = np.maximum.accumulate(np.where(member, 0, np.arange(len(order))))
+                again = member & ((columns[2] != columns[2][head]) | (equal[2] & equal[3]))
+                copy = member & equal[2] & equal[3] & equal[4]  # of a row given twice
+                keep = ~copy & (again | shared.has(columns[0].view(np.int64))) if shared else ~copy
+                kind, order = again[keep].astype(np.int64), order[keep]
+                bucket, ranged, key, tag, start, first, last = (x[order] for x in (bucket, ranged, key, tag, start, first, last))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (kind, bucket.view(np.int64), ranged.view(np.int64), key, (start << 20) | ((last - first + 1) << 12) | tag)],
                     names=["kind", "bucket", "ranged", "key", "at"],
@@ -145,24 +151,23 @@ def _anchors(length: int):
 
 
 def _strings(length: int):
-    """Rows (string, key, start) of every start of the given ranges of a text."""
+    """Rows (string, key, start) of every start of the given ranges of a text; kind 1: repeated in this text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, tag, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("key", "tag", "data", "ranges")), strict=True):
                 data = np.frombuffer(text, dtype=np.uint8)
-                buckets = None
                 starts = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(ranges[::2], ranges[1::2], strict=True)]))
                 strings = np.empty(len(starts), dtype=_U)
                 for low in range(0, len(data), 1 << 20):  # long texts go block by block
                     inside = (starts >= low) & (starts < low + (1 << 20))
                     if inside.any():
-                        buckets = _Buckets(data[low : low + (1 << 20) + length], length)
-                        strings[inside] = buckets.strings(starts[inside] - low)
-                n = len(starts)
+                        strings[inside] = _Buckets(data[low : low + (1 << 20) + length], length).strings(starts[inside] - low)
+                kind = np.ones(len(starts), dtype=np.int64)
+                kind[np.unique(strings, return_index=True)[1]] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(strings.view(np.int64)), pa.array(np.full(n, key, dtype=np.int64)), pa.array((starts << 20) | (1 << 12) | tag)],
-                    names=["string", "key", "at"],
+                    [pa.array(kind), pa.array(strings.view(np.int64)), pa.array(np.full(len(starts), key, dtype=np.int64)), pa.array((starts << 20) | (1 << 12) | tag)],
+                    names=["kind", "string", "key", "at"],
                 )
 
     return find
@@ -205,10 +210,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     removed run).
 
     Null texts count as empty; a null id comes before all others; texts
-    shorter than ``length`` stay whole. Rows that repeat an id *and* a text
-    are one document given twice and get the same result; rows that share
-    only the id are ordered by a hash of their texts. An empty table gives an
-    empty result. ``length`` is 64 to 200.
+    shorter than ``length`` stay whole. Rows that share an id come at one
+    place in the order: none is earlier than another, and a row given twice
+    gets the same result twice. An empty table gives an empty result.
+    ``length`` is 64 to 200.
     """
     if not 64 <= length <= 200:
         raise ValueError("length is 64 to 200")
@@ -219,28 +224,37 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"),
     )
     long = docs.where(F.length("data") >= length).select("key", "tag", "data")
-    found = long.mapInArrow(_anchors(length), "kind long, bucket long, ranged long, key long, at long")
-
-    repeated = found.where("kind = 0").groupBy("bucket").count().where("count > 1").select("bucket")
-    shared = checkpointed(found.where("kind = 0").drop("kind").join(repeated, "bucket", "left_semi"))
-    first = F.min(F.struct("key", F.col("at").bitwiseAND(4095).alias("tag"), F.shiftright("at", 20).alias("start"), "at"))
-    classes = checkpointed(shared.groupBy("bucket", "ranged").agg(first.alias("first"), F.count("*").alias("n")))
-    again = shared.join(classes.where("n > 1"), ["bucket", "ranged"]).where("key != first.key or at != first.at").select("key", "at")
+    columns = "kind long, bucket long, ranged long, key long, at long"
+    counts = long.mapInArrow(_anchors(length), columns).where("kind = 0").groupBy("bucket").count()
+    repeated = stored(counts.where("count > 1").select("bucket"))
+    found = stored(long.mapInArrow(_anchors(length, Bits(repeated, "bucket", 26)), columns))
     settled = found.where("kind = 1").select("key", "at")
 
+    shared = found.where("kind = 0").drop("kind").join(repeated, "bucket", "left_semi")
+    classes = stored(shared.groupBy("bucket", "ranged").agg(F.min("key").alias("first"), F.count("*").alias("n")))
+    members = found.where("kind = 0").join(classes, ["bucket", "ranged"])
+    again = members.where("key <> first").select("key", "at")
+
     split = classes.groupBy("bucket").count().where("count > 1").select("bucket")
-    open_ranges = classes.join(split, "bucket", "left_semi").select("first.key", "first.at")
-    open_ranges = _by_text(open_ranges)
-    texts = docs.repartition(shuffle_partitions(docs.sparkSession), "key")
-    strings = texts.join(open_ranges.hint("shuffle_hash"), ["key", "tag"]).select("key", "tag", "data", "ranges")
-    strings = strings.mapInArrow(_strings(length), "string long, key long, at long")
-    strings = checkpointed(strings)
-    earliest = strings.groupBy("string").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    late = strings.join(earliest, "string").where("key != first.key or at != first.at").select("key", "at")
-
-    removed = _by_text(settled.unionByName(again).unionByName(late))
-    whole = texts.join(removed.hint("shuffle_hash"), ["key", "tag"], "left").select("doc_id", "data", "ranges")
-    return whole.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>")
+    open_ranges = stored(_by_text(members.where("key = first").join(split, "bucket", "left_semi").select("key", "at")))
+    strings = _parted(docs, open_ranges)[1].where("ranges is not null").select("key", "tag", "data", "ranges")
+    strings = stored(strings.mapInArrow(_strings(length), "kind long, string long, key long, at long"))
+    earliest = strings.where("kind = 0").groupBy("string").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    late = strings.where("kind = 0").join(earliest, "string").where("key <> first").select("key", "at")
+    late = late.unionByName(strings.where("kind = 1").select("key", "at"))
+
+    removed = stored(_by_text(settled.unionByName(again).unionByName(late)))
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>"
+    untouched, cut = _parted(docs, removed)
+    whole = untouched.select("doc_id", "data", F.lit(None).cast("array<long>").alias("ranges")).mapInArrow(_cut(length), result)
+    return whole.unionByName(cut.select("doc_id", "data", "ranges").mapInArrow(_cut(length), result))
+
+
+def _parted(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that surely have no ranges, which stay where they are, and the others joined to theirs."""
+    seen = Bits(ranges.select(F.xxhash64("key").alias("slot")), "slot", 24).column("slot")
+    marked = docs.withColumn("slot", F.xxhash64("key")).withColumn("seen", seen)
+    return marked.where("not seen"), marked.where("seen").join(ranges.hint("shuffle_hash"), ["key", "tag"], "left")
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
