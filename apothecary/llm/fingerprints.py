@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from apothecary.llm.common import chosen, shuffle_partitions
 
 _FIRST = -(2**63)  # the order of a null id
-_FLUSH = 400_000
+_FLUSH = 800_000
 
 
 def terms(text: str) -> set[str]:

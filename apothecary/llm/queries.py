@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from apothecary.llm import fingerprints, html_wrappers, jaccard, packing, quality, suffix_dedup, token_counts
+from apothecary.llm import ann, fingerprints, html_wrappers, jaccard, packing, quality, sentencepieces, suffix_dedup, token_counts
 from apothecary.llm.common import public_tokenizer, table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, decoded again: a digest of the ids and whether the text came back."""
+    path = public_tokenizer("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return sentencepieces.encoded_and_decoded(docs, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.translate("text", "▁", " ")).alias("round_trip"),
+    )
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -39,7 +58,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_imatch": op10_imatch}
+    return {"op1_ann": op1_ann, "op3_sentencepiece": op3_sentencepiece, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict:

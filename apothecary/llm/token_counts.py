@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from apothecary.llm.common import chosen, stored
 from apothecary.llm.pretokens import units
 
-_FLUSH = 400_000
+_FLUSH = 800_000
 
 
 def _counter(path: str):
