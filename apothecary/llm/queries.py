@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apothecary.llm import ann, fingerprints, html_wrappers, jaccard, packing, quality, sentencepieces, suffix_dedup, token_counts
+from apothecary.llm import ann, chat, fingerprints, html_wrappers, jaccard, packing, quality, sentencepieces, suffix_dedup, token_counts
 from apothecary.llm.common import public_tokenizer, table
 
 
@@ -14,6 +14,48 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure is read back from the formatted conversation."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id long, turn long, role string, text string")
+    turns = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.col("text")))
+    made = chat.format_conversations(turns)
+    made = made.withColumn("read", chat.read_back(F.col("formatted"))).withColumn("loss", F.array_join(chat.under_loss(F.col("formatted"), F.col("loss_spans")), ""))
+    lines = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def _sql_escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+OP2_SQL = f"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_PROBE}'), (-1, 1, 'assistant', '{_PROBE}')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.TURN + chat.BODY + chat.END)} + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again: a digest of the ids and whether the text came back."""
     path = public_tokenizer("piece_bpe_32k.model")
@@ -58,8 +100,8 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_ann": op1_ann, "op3_sentencepiece": op3_sentencepiece, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_imatch": op10_imatch}
+    return {"op1_ann": op1_ann, "op2_chat_format": op2_chat_format, "op3_sentencepiece": op3_sentencepiece, "op4_html_extract": op4_html_extract, "op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard_join": op9_jaccard_join, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_chat_format": OP2_SQL}

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from apothecary.llm.common import Bits, chosen, shuffle_partitions, stored
+from apothecary.llm.common import Bits, stored
 
 _Q = 32
 _FIRST = -(2**63)  # the order of a null id
@@ -174,7 +175,7 @@ def _strings(length: int):
 
 
 def _cut(length: int):
-    """What is left of each text, and what was removed."""
+    """What is left of each text, and what was removed; ``rest`` goes along."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,19 +196,20 @@ def _cut(length: int):
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+            columns = [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("rest")], names=[*out, "rest"])
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each document without the bytes that a string of ``length`` bytes covers which starts earlier too.
 
     Earlier is a smaller id, or the same document and an earlier start. One
     row a row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of
     the remaining bytes, ``kept`` (those bytes as text; bytes of a character
     that was cut through are left out) and ``spans`` (start and end of each
-    removed run).
+    removed run). The columns named in ``carry`` come along in a struct ``rest``.
 
     Null texts count as empty; a null id comes before all others; texts
     shorter than ``length`` stay whole. Rows that share an id come at one
@@ -217,7 +219,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     if not 64 <= length <= 200:
         raise ValueError("length is 64 to 200")
-    docs = chosen(docs, doc_id=id_col, text=text_col).select(
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(True).alias("given"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")).select(
+        "rest",
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("doc_id", F.lit(_FIRST)).cast("long").alias("key"),
         F.pmod(F.xxhash64("text"), F.lit(4096)).alias("tag"),
@@ -244,10 +248,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     late = late.unionByName(strings.where("kind = 1").select("key", "at"))
 
     removed = stored(_by_text(settled.unionByName(again).unionByName(late)))
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>"
+    result = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>").add(docs.schema["rest"])
     untouched, cut = _parted(docs, removed)
-    whole = untouched.select("doc_id", "data", F.lit(None).cast("array<long>").alias("ranges")).mapInArrow(_cut(length), result)
-    return whole.unionByName(cut.select("doc_id", "data", "ranges").mapInArrow(_cut(length), result))
+    whole = untouched.select("rest", "doc_id", "data", F.lit(None).cast("array<long>").alias("ranges")).mapInArrow(_cut(length), result)
+    return whole.unionByName(cut.select("rest", "doc_id", "data", "ranges").mapInArrow(_cut(length), result))
 
 
 def _parted(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
