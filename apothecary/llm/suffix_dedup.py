@@ -12,7 +12,8 @@ at offsets 0 and k. Only as many positions are bucketed as can decide:
   one anchor are final.
 * The rest are refined by the identifier of the whole range of strings that
   the anchor stands for. Anchors equal in it repeat all those strings.
-* Buckets that fall apart there are refined once more, string by string.
+* Buckets that fall apart there are refined by what all strings of a few
+  neighbouring offsets have in common, and last string by string.
 
 Anchors repeated inside a batch are settled there, before any shuffle, and
 counts are pre-aggregated, so a passage in a third of all documents doesn't
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +35,7 @@ from pyspark.sql.types import StructType
 from apothecary.llm.common import Bits, stored
 
 _Q = 32
+_CELL = 17  # neighbouring offsets refined together
 _FIRST = -(2**63)  # the order of a null id
 _U = np.uint64
 
@@ -55,17 +58,23 @@ class _Buckets:
 
     def __init__(self, data: np.ndarray, length: int):
         level, self.length = _byte_ids()[data], length
-        levels, k = {1: level}, 1
-        while 2 * k <= length:
+        k = 1
+        while 2 * k <= length - _CELL:
             level = _mixed(level[:-k], level[k:], k) if len(level) > k else level[:0]
             k *= 2
-            levels[k] = level
-        self.q, self.largest, self._top = levels[_Q], k, levels[k]
+            if k == _Q:
+                self.q = level
+        self.largest, self._top = k, level
 
     def strings(self, starts: np.ndarray) -> np.ndarray:
         """Identifiers of the ``length`` bytes at each start."""
         return _mixed(self._top[starts], self._top[starts + (self.length - self.largest)], 99)
 
+    def cores(self, anchors: np.ndarray, cell: int) -> np.ndarray:
+        """Identifiers of the bytes that the strings of one cell of offsets before their anchor share."""
+        starts = anchors - _CELL * cell
+        return _mixed(self._top[starts], self._top[starts + (self.length - _CELL + 1 - self.largest)], 98 - cell)
+
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by doubling."""
@@ -78,10 +87,11 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts joined in ``data``: anchor identifier, identifier of its range, first and last start it stands for."""
+    """Of texts joined in ``data``: anchor identifier, identifier of its range, first and last start it stands for, how far it lies behind the first, 16 bits of each cell's core."""
     none = np.empty(0, dtype=np.int64)
+    nothing = none.astype(_U), none.astype(_U), none, none, none, np.empty((0, 2), dtype=np.int64)
     if len(data) < length:
-        return none.astype(_U), none.astype(_U), none, none
+        return nothing
     buckets = _Buckets(data, length)
     keys = (buckets.q & _U(0xFFFFFFFFF0000000)) | np.arange(len(buckets.q), dtype=_U)
     anchor = (_least(keys, length - _Q + 1) & _U(0x0FFFFFFF)).astype(np.int64)  # of each start
@@ -90,12 +100,18 @@ def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
         valid[max(0, end - length + 1) : end] = False
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return none.astype(_U), none.astype(_U), none, none
+        return nothing
     cut = np.flatnonzero((np.diff(anchor[starts]) != 0) | (np.diff(starts) != 1)) + 1
     first, last = starts[np.r_[0, cut]], starts[np.r_[cut, len(starts)] - 1]
     at = anchor[first]
     shape = ((last - first) * 256 + (at - first)).astype(_U)
-    return buckets.q[at], _mixed(_mixed(buckets.strings(first), buckets.strings(last), 7), shape, 8), first, last
+    packed = np.zeros((len(at), 2), dtype=_U)
+    for cell in range(8):
+        inside = np.flatnonzero(((at - last) // _CELL <= cell) & (cell <= (at - first) // _CELL))
+        if len(inside):
+            core = (buckets.cores(at[inside], cell) >> _U(40)) % _U(65535) + _U(1)
+            packed[inside, cell // 4] |= core << _U(16 * (cell % 4))
+    return buckets.q[at], _mixed(_mixed(buckets.strings(first), buckets.strings(last), 7), shape, 8), first, last, at - first, packed.view(np.int64)
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,9 +120,9 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), ends - sizes, ends
 
 
-def _groups(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about ``most`` bytes of text, a row at least."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column("data").to_pylist()]
+def _groups(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``most`` bytes of text, a row at least: what a task holds at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("data")), 0).to_pylist()
     at, total = 0, 0
     for k, n in enumerate(sizes):
         if k > at and total + n > most:
@@ -128,7 +144,7 @@ def _anchors(length: int, shared: Bits | None = None):
             for part in _groups(batch):
                 texts = part.column("data").to_pylist()
                 data, begins, ends = _joined(texts)
-                bucket, ranged, first, last = _runs(data, ends, length)
+                bucket, ranged, first, last, back, cells = _runs(data, ends, length)
                 row = np.searchsorted(ends, first, side="right")
                 key = part.column("key").to_numpy(zero_copy_only=False)[row]
                 tag = part.column("tag").to_numpy(zero_copy_only=False)[row]
@@ -142,10 +158,10 @@ def _anchors(length: int, shared: Bits | None = None):
                 copy = member & equal[2] & equal[3] & equal[4]  # of a row given twice
                 keep = ~copy & (again | shared.has(columns[0].view(np.int64))) if shared else ~copy
                 kind, order = again[keep].astype(np.int64), order[keep]
-                bucket, ranged, key, tag, start, first, last = (x[order] for x in (bucket, ranged, key, tag, start, first, last))
+                bucket, ranged, key, tag, start, first, last, back, cells = (x[order] for x in (bucket, ranged, key, tag, start, first, last, back, cells))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (kind, bucket.view(np.int64), ranged.view(np.int64), key, (start << 20) | ((last - first + 1) << 12) | tag)],
-                    names=["kind", "bucket", "ranged", "key", "at"],
+                    [pa.array(x) for x in (kind, bucket.view(np.int64), ranged.view(np.int64), key, (start << 20) | ((last - first + 1) << 12) | tag, back, cells[:, 0], cells[:, 1])],
+                    names=["kind", "bucket", "ranged", "key", "at", "back", "cells", "more_cells"],
                 )
 
     return find
@@ -155,15 +171,15 @@ def _strings(length: int):
     """Rows (string, key, start) of every start of the given ranges of a text; kind 1: repeated in this text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (g for whole in batches for g in _groups(whole)):
             for key, tag, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("key", "tag", "data", "ranges")), strict=True):
                 data = np.frombuffer(text, dtype=np.uint8)
-                starts = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(ranges[::2], ranges[1::2], strict=True)]))
+                starts = np.unique(np.concatenate([np.arange(a, a + n) for a, n in _unpacked(ranges)]))
                 strings = np.empty(len(starts), dtype=_U)
-                for low in range(0, len(data), 1 << 20):  # long texts go block by block
-                    inside = (starts >= low) & (starts < low + (1 << 20))
+                for low in range(0, len(data), 1 << 18):  # long texts go block by block
+                    inside = (starts >= low) & (starts < low + (1 << 18))
                     if inside.any():
-                        strings[inside] = _Buckets(data[low : low + (1 << 20) + length], length).strings(starts[inside] - low)
+                        strings[inside] = _Buckets(data[low : low + (1 << 18) + length], length).strings(starts[inside] - low)
                 kind = np.ones(len(starts), dtype=np.int64)
                 kind[np.unique(strings, return_index=True)[1]] = 0
                 yield pa.RecordBatch.from_arrays(
@@ -178,11 +194,11 @@ def _cut(length: int):
     """What is left of each text, and what was removed; ``rest`` goes along."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (g for whole in batches for g in _groups(whole)):
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
             for doc_id, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "data", "ranges")), strict=True):
                 spans: list[list[int]] = []
-                for first, n in sorted(zip((ranges or [])[::2], (ranges or [])[1::2], strict=True)):
+                for first, n in _unpacked(ranges):
                     if spans and first <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], first + n - 1 + length)
                     else:
@@ -215,10 +231,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     shorter than ``length`` stay whole. Rows that share an id come at one
     place in the order: none is earlier than another, and a row given twice
     gets the same result twice. An empty table gives an empty result.
-    ``length`` is 64 to 200.
+    ``length`` is 84 to 128.
     """
-    if not 64 <= length <= 200:
-        raise ValueError("length is 64 to 200")
+    if not 84 <= length <= 128:
+        raise ValueError("length is 84 to 128")
     rest = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(True).alias("given"))
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")).select(
         "rest",
@@ -228,19 +244,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"),
     )
     long = docs.where(F.length("data") >= length).select("key", "tag", "data")
-    columns = "kind long, bucket long, ranged long, key long, at long"
+    columns = "kind long, bucket long, ranged long, key long, at long, back long, cells long, more_cells long"
     counts = long.mapInArrow(_anchors(length), columns).where("kind = 0").groupBy("bucket").count()
     repeated = stored(counts.where("count > 1").select("bucket"))
     found = stored(long.mapInArrow(_anchors(length, Bits(repeated, "bucket", 26)), columns))
     settled = found.where("kind = 1").select("key", "at")
 
-    shared = found.where("kind = 0").drop("kind").join(repeated, "bucket", "left_semi")
+    shared = found.where("kind = 0").select("bucket", "ranged", "key").join(repeated, "bucket", "left_semi")
     classes = stored(shared.groupBy("bucket", "ranged").agg(F.min("key").alias("first"), F.count("*").alias("n")))
     members = found.where("kind = 0").join(classes, ["bucket", "ranged"])
     again = members.where("key <> first").select("key", "at")
 
     split = classes.groupBy("bucket").count().where("count > 1").select("bucket")
-    open_ranges = stored(_by_text(members.where("key = first").join(split, "bucket", "left_semi").select("key", "at")))
+    unsettled = members.where("key = first").join(split, "bucket", "left_semi")
+    open_ranges = stored(_by_text(_alike_cells(unsettled)))
     strings = _parted(docs, open_ranges)[1].where("ranges is not null").select("key", "tag", "data", "ranges")
     strings = stored(strings.mapInArrow(_strings(length), "kind long, string long, key long, at long"))
     earliest = strings.where("kind = 0").groupBy("string").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -261,8 +278,25 @@ def _parted(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("not seen"), marked.where("seen").join(ranges.hint("shuffle_hash"), ["key", "tag"], "left")
 
 
+def _alike_cells(anchors: DataFrame) -> DataFrame:
+    """Of the anchors' ranges the parts of which another anchor of the bucket has an equal core."""
+    core = [F.shiftrightunsigned(F.col("cells" if cell < 4 else "more_cells"), 16 * (cell % 4)).bitwiseAND(65535) for cell in range(8)]
+    cells = F.array(*[F.struct(F.lit(cell).alias("cell"), c.alias("core")) for cell, c in enumerate(core)])
+    rows = anchors.withColumn("one", F.explode(F.filter(cells, lambda c: c["core"] > 0))).select("bucket", "key", "at", "back", "one.cell", "one.core")
+    alike = rows.groupBy("bucket", "cell", "core").count().where("count > 1").select("bucket", "cell", "core")
+    rows = rows.join(alike, ["bucket", "cell", "core"], "left_semi")
+    start = F.shiftright("at", 20)
+    nearest = start + F.col("back") - F.col("cell") * _CELL
+    low = F.greatest(start, nearest - (_CELL - 1))
+    high = F.least(start + F.shiftright("at", 12).bitwiseAND(255) - 1, nearest)
+    return rows.select("key", (F.shiftleft(low, 20) + F.shiftleft(high - low + 1, 12) + F.col("at").bitwiseAND(4095)).alias("at"))
+
+
 def _by_text(rows: DataFrame) -> DataFrame:
-    """The ranges of each text as one array of first start and number of starts."""
-    tag = F.col("at").bitwiseAND(4095).alias("tag")
-    pair = F.array(F.shiftright("at", 20), F.shiftright("at", 12).bitwiseAND(255))
-    return rows.select("key", tag, pair.alias("pair")).groupBy("key", "tag").agg(F.flatten(F.collect_list("pair")).alias("ranges"))
+    """The ranges of each text in one array, packed as they are: start, number of starts, tag."""
+    return rows.groupBy("key", F.col("at").bitwiseAND(4095).alias("tag")).agg(F.collect_list("at").alias("ranges"))
+
+
+def _unpacked(ranges: list[int] | None) -> list[tuple[int, int]]:
+    """First start and number of starts of each range, in order."""
+    return sorted((r >> 20, (r >> 12) & 255) for r in ranges or ())
