@@ -1 +1 @@
-
+"""Relational operators: joins, grouping, ranking, stores and search over DataFrames."""

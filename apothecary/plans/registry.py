@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from apothecary.plans import features, rules, search, signals, texts
+
+_MODULES = (signals, texts, search, rules, features)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return signals.pair_cooccurrence(spark, sf_dir)
 
 
-def queries() -> dict:
-    return QUERIES
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return ORACLES
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
