@@ -21,7 +21,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.sentences(text.clean(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_sentences"), F.element_at(found, -1).alias("last_sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_sentences"), F.try_element_at(found, F.lit(-1)).alias("last_sentence"))
 
 
 _SENTENCE_SQL = rf"""

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from apothecary.functions import rules
 from apothecary.functions.text import clean
 
-_DRUG = StructType.fromDDL(
+_DRUG = (
     """_type string, `drugbank-id` array<struct<_VALUE string, _primary string>>, name string, description string, indication string, `mechanism-of-action` string,
     `half-life` string, `protein-binding` string, groups struct<`group` array<string>>, synonyms struct<synonym array<struct<_VALUE string>>>,
     `drug-interactions` struct<`drug-interaction` array<struct<`drugbank-id` string, name string, description string>>>,
@@ -40,7 +39,7 @@ def read_drugs(spark: SparkSession, path: str) -> DataFrame:
     """Small molecules and biotech drugs with a primary id and a name, nested parts kept as arrays."""
     df = spark.read.format("xml").option("rowTag", "drug").schema(_DRUG).load(path).where(F.col("_type").isin("small molecule", "biotech"))
     ids = F.filter("drugbank-id", lambda x: x["_primary"] == "true")
-    of = lambda kind: F.element_at(F.filter(F.transform(F.filter("calculated-properties.property", lambda p: p["kind"] == kind), lambda p: p["value"].try_cast("double")), lambda v: v.isNotNull()), -1)
+    of = lambda kind: F.try_element_at(F.filter(F.transform(F.filter("calculated-properties.property", lambda p: p["kind"] == kind), lambda p: p["value"].try_cast("double")), lambda v: v.isNotNull()), F.lit(-1))
     rxnorm = F.filter("external-identifiers.external-identifier", lambda x: x["resource"] == "RxCUI")
     return df.select(
         F.get(ids, F.lit(0))["_VALUE"].alias("drug_id"), F.trim("name").alias("name"), F.col("_type").alias("drug_type"), "description", "indication",
@@ -66,7 +65,7 @@ def enzyme_roles(drugs: DataFrame) -> DataFrame:
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Literature records with an id and an abstract; labelled abstract parts are joined as ``Label: text``."""
-    schema = StructType.fromDDL(
+    schema = (
         """MedlineCitation struct<PMID struct<_VALUE string>, Article struct<ArticleTitle string, Abstract struct<AbstractText array<struct<_Label string, _VALUE string>>>,
         Journal struct<Title string, JournalIssue struct<PubDate struct<Year string, MedlineDate string>>>,
         AuthorList struct<Author array<struct<LastName string, ForeName string>>>>, MeshHeadingList struct<MeshHeading array<struct<DescriptorName struct<_VALUE string>>>>>"""
