@@ -37,10 +37,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage as a Parquet table in the shared folder: smaller than a checkpoint."""
-    path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` cut from its lineage as a Parquet table in the shared folder: smaller than a checkpoint.
+
+    Nothing before the table is read again, so the shuffle files that made it
+    are removed when it is written.
+    """
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}", spark.conf.get(cleanup, None)
+    if before is not None:
+        spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

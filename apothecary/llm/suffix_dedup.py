@@ -12,8 +12,7 @@ at offsets 0 and k. Only as many positions are bucketed as can decide:
   one anchor are final.
 * The rest are refined by the identifier of the whole range of strings that
   the anchor stands for. Anchors equal in it repeat all those strings.
-* Buckets that fall apart there are refined by what all strings of a few
-  neighbouring offsets have in common, and last string by string.
+* Buckets that fall apart there are refined once more, string by string.
 
 Anchors repeated inside a batch are settled there, before any shuffle, and
 counts are pre-aggregated, so a passage in a third of all documents doesn't
@@ -35,7 +34,6 @@ from pyspark.sql.types import StructType
 from apothecary.llm.common import Bits, stored
 
 _Q = 32
-_CELL = 17  # neighbouring offsets refined together
 _FIRST = -(2**63)  # the order of a null id
 _U = np.uint64
 
@@ -59,7 +57,7 @@ class _Buckets:
     def __init__(self, data: np.ndarray, length: int):
         level, self.length = _byte_ids()[data], length
         k = 1
-        while 2 * k <= length - _CELL:
+        while 2 * k <= length:
             level = _mixed(level[:-k], level[k:], k) if len(level) > k else level[:0]
             k *= 2
             if k == _Q:
@@ -70,11 +68,6 @@ class _Buckets:
         """Identifiers of the ``length`` bytes at each start."""
         return _mixed(self._top[starts], self._top[starts + (self.length - self.largest)], 99)
 
-    def cores(self, anchors: np.ndarray, cell: int) -> np.ndarray:
-        """Identifiers of the bytes that the strings of one cell of offsets before their anchor share."""
-        starts = anchors - _CELL * cell
-        return _mixed(self._top[starts], self._top[starts + (self.length - _CELL + 1 - self.largest)], 98 - cell)
-
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours, by doubling."""
@@ -87,9 +80,9 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts joined in ``data``: anchor identifier, identifier of its range, first and last start it stands for, how far it lies behind the first, 16 bits of each cell's core."""
+    """Of texts joined in ``data``: anchor identifier, identifier of its range, first and last start it stands for."""
     none = np.empty(0, dtype=np.int64)
-    nothing = none.astype(_U), none.astype(_U), none, none, none, np.empty((0, 2), dtype=np.int64)
+    nothing = none.astype(_U), none.astype(_U), none, none
     if len(data) < length:
         return nothing
     buckets = _Buckets(data, length)
@@ -105,13 +98,7 @@ def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     first, last = starts[np.r_[0, cut]], starts[np.r_[cut, len(starts)] - 1]
     at = anchor[first]
     shape = ((last - first) * 256 + (at - first)).astype(_U)
-    packed = np.zeros((len(at), 2), dtype=_U)
-    for cell in range(8):
-        inside = np.flatnonzero(((at - last) // _CELL <= cell) & (cell <= (at - first) // _CELL))
-        if len(inside):
-            core = (buckets.cores(at[inside], cell) >> _U(40)) % _U(65535) + _U(1)
-            packed[inside, cell // 4] |= core << _U(16 * (cell % 4))
-    return buckets.q[at], _mixed(_mixed(buckets.strings(first), buckets.strings(last), 7), shape, 8), first, last, at - first, packed.view(np.int64)
+    return buckets.q[at], _mixed(_mixed(buckets.strings(first), buckets.strings(last), 7), shape, 8), first, last
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +131,7 @@ def _anchors(length: int, shared: Bits | None = None):
             for part in _groups(batch):
                 texts = part.column("data").to_pylist()
                 data, begins, ends = _joined(texts)
-                bucket, ranged, first, last, back, cells = _runs(data, ends, length)
+                bucket, ranged, first, last = _runs(data, ends, length)
                 row = np.searchsorted(ends, first, side="right")
                 key = part.column("key").to_numpy(zero_copy_only=False)[row]
                 tag = part.column("tag").to_numpy(zero_copy_only=False)[row]
@@ -158,10 +145,10 @@ def _anchors(length: int, shared: Bits | None = None):
                 copy = member & equal[2] & equal[3] & equal[4]  # of a row given twice
                 keep = ~copy & (again | shared.has(columns[0].view(np.int64))) if shared else ~copy
                 kind, order = again[keep].astype(np.int64), order[keep]
-                bucket, ranged, key, tag, start, first, last, back, cells = (x[order] for x in (bucket, ranged, key, tag, start, first, last, back, cells))
+                bucket, ranged, key, tag, start, first, last = (x[order] for x in (bucket, ranged, key, tag, start, first, last))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (kind, bucket.view(np.int64), ranged.view(np.int64), key, (start << 20) | ((last - first + 1) << 12) | tag, back, cells[:, 0], cells[:, 1])],
-                    names=["kind", "bucket", "ranged", "key", "at", "back", "cells", "more_cells"],
+                    [pa.array(x) for x in (kind, bucket.view(np.int64), ranged.view(np.int64), key, (start << 20) | ((last - first + 1) << 12) | tag)],
+                    names=["kind", "bucket", "ranged", "key", "at"],
                 )
 
     return find
@@ -231,10 +218,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     shorter than ``length`` stay whole. Rows that share an id come at one
     place in the order: none is earlier than another, and a row given twice
     gets the same result twice. An empty table gives an empty result.
-    ``length`` is 84 to 128.
+    ``length`` is 64 to 200.
     """
-    if not 84 <= length <= 128:
-        raise ValueError("length is 84 to 128")
+    if not 64 <= length <= 200:
+        raise ValueError("length is 64 to 200")
     rest = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(True).alias("given"))
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")).select(
         "rest",
@@ -244,24 +231,25 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"),
     )
     long = docs.where(F.length("data") >= length).select("key", "tag", "data")
-    columns = "kind long, bucket long, ranged long, key long, at long, back long, cells long, more_cells long"
+    columns = "kind long, bucket long, ranged long, key long, at long"
     counts = long.mapInArrow(_anchors(length), columns).where("kind = 0").groupBy("bucket").count()
     repeated = stored(counts.where("count > 1").select("bucket"))
     found = stored(long.mapInArrow(_anchors(length, Bits(repeated, "bucket", 26)), columns))
     settled = found.where("kind = 1").select("key", "at")
 
-    shared = found.where("kind = 0").select("bucket", "ranged", "key").join(repeated, "bucket", "left_semi")
-    classes = stored(shared.groupBy("bucket", "ranged").agg(F.min("key").alias("first"), F.count("*").alias("n")))
-    members = found.where("kind = 0").join(classes, ["bucket", "ranged"])
-    again = members.where("key <> first").select("key", "at")
-
-    split = classes.groupBy("bucket").count().where("count > 1").select("bucket")
-    unsettled = members.where("key = first").join(split, "bucket", "left_semi")
-    open_ranges = stored(_by_text(_alike_cells(unsettled)))
+    anchors = found.where("kind = 0").drop("kind")
+    classes = anchors.groupBy("bucket", "ranged").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    classes = stored(classes)
+    split = classes.groupBy("bucket").count().where("count > 1").select("bucket", F.lit(True).alias("split"))
+    refined = stored(classes.join(split, "bucket", "left").where("n > 1 or split"))
+    members = anchors.join(refined, ["bucket", "ranged"]).where("key <> first or split")
+    members = stored(members.select("key", "at", (F.col("key") == F.col("first")).alias("is_first")))
+    again = members.where("not is_first").select("key", "at")
+    open_ranges = stored(_by_text(members.where("is_first")))
     strings = _parted(docs, open_ranges)[1].where("ranges is not null").select("key", "tag", "data", "ranges")
     strings = stored(strings.mapInArrow(_strings(length), "kind long, string long, key long, at long"))
     earliest = strings.where("kind = 0").groupBy("string").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    late = strings.where("kind = 0").join(earliest, "string").where("key <> first").select("key", "at")
+    late = stored(strings.where("kind = 0").join(earliest, "string").where("key <> first").select("key", "at"))
     late = late.unionByName(strings.where("kind = 1").select("key", "at"))
 
     removed = stored(_by_text(settled.unionByName(again).unionByName(late)))
@@ -278,20 +266,6 @@ def _parted(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("not seen"), marked.where("seen").join(ranges.hint("shuffle_hash"), ["key", "tag"], "left")
 
 
-def _alike_cells(anchors: DataFrame) -> DataFrame:
-    """Of the anchors' ranges the parts of which another anchor of the bucket has an equal core."""
-    core = [F.shiftrightunsigned(F.col("cells" if cell < 4 else "more_cells"), 16 * (cell % 4)).bitwiseAND(65535) for cell in range(8)]
-    cells = F.array(*[F.struct(F.lit(cell).alias("cell"), c.alias("core")) for cell, c in enumerate(core)])
-    rows = anchors.withColumn("one", F.explode(F.filter(cells, lambda c: c["core"] > 0))).select("bucket", "key", "at", "back", "one.cell", "one.core")
-    alike = rows.groupBy("bucket", "cell", "core").count().where("count > 1").select("bucket", "cell", "core")
-    rows = rows.join(alike, ["bucket", "cell", "core"], "left_semi")
-    start = F.shiftright("at", 20)
-    nearest = start + F.col("back") - F.col("cell") * _CELL
-    low = F.greatest(start, nearest - (_CELL - 1))
-    high = F.least(start + F.shiftright("at", 12).bitwiseAND(255) - 1, nearest)
-    return rows.select("key", (F.shiftleft(low, 20) + F.shiftleft(high - low + 1, 12) + F.col("at").bitwiseAND(4095)).alias("at"))
-
-
 def _by_text(rows: DataFrame) -> DataFrame:
     """The ranges of each text in one array, packed as they are: start, number of starts, tag."""
     return rows.groupBy("key", F.col("at").bitwiseAND(4095).alias("tag")).agg(F.collect_list("at").alias("ranges"))
