@@ -43,6 +43,7 @@ _SIDE_NAMES = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+_SALTS = 64
 Node = list  # [tag, many, children] for an element, ["#", many, text hash or None] for a slot; many: "1", "?", "+" or "*"
 
 
@@ -286,5 +287,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 out.append(page_text(blocks(page or "")[1], *known[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(wrappers, "host").select("page_id", "url", "html", "host", "wrapper", "pages")
+    # A host with a thousandth of all pages or more, of which there are a thousand at most, is dealt to many tasks.
+    total = wrappers.agg(F.sum("pages")).first()[0] or 0
+    frequent = F.col("host").isin([r["host"] for r in wrappers.where(F.col("pages") * 1000 >= total).select("host").collect()])
+    salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(frequent, _SALTS - 1).otherwise(0))))
+    pages = pages.withColumn("salt", F.when(frequent, F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int")).otherwise(0))
+    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(salted, ["host", "salt"]).select("page_id", "url", "html", "host", "wrapper", "pages")
     return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")
