@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apothecary.llm.common import chosen, shuffle_partitions
+from apothecary.llm.common import chosen, shuffle_partitions, stored
 
 _FIRST = -(2**63)  # the order of a null id
 _FLUSH = 800_000
@@ -173,7 +173,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited string"
     if docs.isEmpty():
         return spark.createDataFrame([], schema)
-    words = spark.sparkContext.broadcast(sorted(r.term for r in lexicon(docs).select("term").collect()))
+    words = spark.sparkContext.broadcast(sorted(r.term for r in stored(lexicon(docs).select("term")).collect()))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
