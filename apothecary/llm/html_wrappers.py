@@ -28,8 +28,8 @@ from apothecary.llm.common import checkpointed, chosen
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -44,9 +44,17 @@ _SIDE_NAMES = frozenset(
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _SALTS = 64
+_DEEPEST = 150  # elements nested deeper count as siblings
+_LONGEST = 64  # siblings after folding; of longer rows each tag is one repeated group
 Node = list  # [tag, many, children] for an element, ["#", many, text hash or None] for a slot; many: "1", "?", "+" or "*"
 
 
+def _words(attributes: str) -> list[str]:
+    """Words of class, id and role; names with digits, which are often one page's own, are left out."""
+    values = " ".join(m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)).lower()
+    return sorted({w for name in values.split() if not any(c.isdigit() for c in name) for w in re.split(r"[^a-z]+", name) if w})
+
+
 def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
     """A page's tree of block elements, and its text blocks in order, each with the path of its slot.
 
@@ -90,10 +98,10 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
         ends = _CLOSES.get(name, {"p"} if name in _BLOCKS_CLOSE_P else ())
         while len(stack) > 1 and stack[-1][0].split(".")[0] in ends:
             stack.pop()
-        named = sorted({w for m in _NAMED.finditer(match.group(4)) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if w}) if "=" in match.group(4) else []
+        named = _words(match.group(4)) if "=" in match.group(4) else []
         node = [".".join([name, *named]), "1", []]
         stack[-1][2].append(node)
-        if not match.group(4).rstrip().endswith("/"):
+        if not match.group(4).rstrip().endswith("/") and len(stack) < _DEEPEST:
             stack.append(node)
     if at < len(page):
         run.append(page[at:])
@@ -127,12 +135,27 @@ def generalise(nodes: list[Node]) -> list[Node]:
             out[-1][1] = "+"
         else:
             out.append(node)
-    return out
+    return _by_tag(out) if len(out) > _LONGEST else out
+
+
+def _by_tag(nodes: list[Node]) -> list[Node]:
+    """Each tag of a long row once, as a repeated group, in order of first appearance."""
+    found: dict[str, Node] = {}
+    for node in nodes:
+        if node[0] in found:
+            many = found[node[0]][1]
+            found[node[0]] = _one(found[node[0]], node)
+            found[node[0]][1] = "*" if "*" in (many, node[1]) or "?" in (many, node[1]) else "+"
+        else:
+            found[node[0]] = node
+    return list(found.values())
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """One sequence that takes both: longest common subsequence of tags, the rest optional."""
     m, n = len(a), len(b)
+    if max(m, n) > 4 * _LONGEST:
+        return _by_tag([*a, *b])
     common = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m - 1, -1, -1):
         for j in range(n - 1, -1, -1):
