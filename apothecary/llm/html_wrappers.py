@@ -5,8 +5,10 @@ and repeated groups, and text slots, with no alternatives. It starts as one
 page's token stream. Every further page of the host is aligned with it;
 siblings found once in one and not in the other become optional, runs of like
 siblings become repeated groups, and text that differs becomes a slot. Pages
-are folded inside each task first, so a host with a third of all pages sends
-a few partial wrappers only, which are aligned with each other in turn.
+are dealt by their text and folded inside each task first, so a host with a
+third of all pages sends a few partial wrappers only, which are aligned with
+each other in turn. Every slot carries the number of different pages that
+hold it; exact copies, and pages that differ in their menus only, are one.
 
 A page is then read with its host's wrapper: what lies in the wrapper's main
 part counts, template text outside an article does not.
@@ -14,17 +16,19 @@ part counts, template text outside an article does not.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
+import operator
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apothecary.llm.common import checkpointed, chosen
+from apothecary.llm.common import chosen, stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -46,7 +50,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SALTS = 64
 _DEEPEST = 150  # elements nested deeper count as siblings
 _LONGEST = 64  # siblings after folding; of longer rows each tag is one repeated group
-Node = list  # [tag, many, children] for an element, ["#", many, text hash or None] for a slot; many: "1", "?", "+" or "*"
+Node = list  # [tag, many, children] for an element, ["#", many, text hash or None, pages] for a slot; many: "1", "?", "+" or "*"
 
 
 def _words(attributes: str) -> list[str]:
@@ -55,6 +59,10 @@ def _words(attributes: str) -> list[str]:
     return sorted({w for name in values.split() if not any(c.isdigit() for c in name) for w in re.split(r"[^a-z]+", name) if w})
 
 
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
 def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
     """A page's tree of block elements, and its text blocks in order, each with the path of its slot.
 
@@ -68,7 +76,7 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
-            stack[-1][2].append(["#", "1", zlib.crc32(text.encode("utf-8", "replace"))])
+            stack[-1][2].append(["#", "1", _hash(text), 1])
             texts.append(("/".join(n[0] for n in stack[1:]), text))
 
     for match in _TOKEN.finditer(page):
@@ -118,10 +126,11 @@ def _more(a: str, b: str) -> str:
     return {(False, False): "1", (True, False): "?", (False, True): "+", (True, True): "*"}[(a in "?*" or b in "?*", a in "+*" or b in "+*")]
 
 
-def _one(a: Node, b: Node) -> Node:
+def _one(a: Node, b: Node, pages: Callable[[int, int], int]) -> Node:
+    """Both as one; ``pages`` joins their slots' counts: a sum for different pages, max within the same pages."""
     if a[0] == "#":
-        return ["#", _more(a[1], b[1]), a[2] if a[2] == b[2] else None]
-    return [a[0], _more(a[1], b[1]), align(a[2], b[2])]
+        return ["#", _more(a[1], b[1]), a[2] if a[2] == b[2] else None, pages(a[3], b[3])]
+    return [a[0], _more(a[1], b[1]), align(a[2], b[2], pages)]
 
 
 def generalise(nodes: list[Node]) -> list[Node]:
@@ -131,7 +140,7 @@ def generalise(nodes: list[Node]) -> list[Node]:
         if node[0] != "#":
             node = [node[0], "1", generalise(node[2])]
         if out and out[-1][0] == node[0]:
-            out[-1] = _one(out[-1], node)
+            out[-1] = _one(out[-1], node, max)
             out[-1][1] = "+"
         else:
             out.append(node)
@@ -144,18 +153,24 @@ def _by_tag(nodes: list[Node]) -> list[Node]:
     for node in nodes:
         if node[0] in found:
             many = found[node[0]][1]
-            found[node[0]] = _one(found[node[0]], node)
+            found[node[0]] = _one(found[node[0]], node, max)
             found[node[0]][1] = "*" if "*" in (many, node[1]) or "?" in (many, node[1]) else "+"
         else:
             found[node[0]] = node
     return list(found.values())
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
+def align(a: list[Node], b: list[Node], pages: Callable[[int, int], int] = operator.add) -> list[Node]:
     """One sequence that takes both: longest common subsequence of tags, the rest optional."""
     m, n = len(a), len(b)
     if max(m, n) > 4 * _LONGEST:
-        return _by_tag([*a, *b])
+        found = {node[0]: node for node in _by_tag(a)}
+        for node in _by_tag(b):
+            if node[0] in found:
+                node = _one(found[node[0]], node, pages)
+                node[1] = "*" if node[1] in "?*" else "+"
+            found[node[0]] = node
+        return list(found.values())
     common = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m - 1, -1, -1):
         for j in range(n - 1, -1, -1):
@@ -163,18 +178,18 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     out, i, j = [], 0, 0
     while i < m or j < n:
         if i < m and j < n and a[i][0] == b[j][0]:
-            out.append(_one(a[i], b[j]))
+            out.append(_one(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j >= n or (i < m and common[i + 1][j] >= common[i][j + 1]):
-            out.append([a[i][0], _more(a[i][1], "?"), a[i][2]])
+            out.append([a[i][0], _more(a[i][1], "?"), *a[i][2:]])
             i += 1
         else:
-            out.append([b[j][0], _more(b[j][1], "?"), b[j][2]])
+            out.append([b[j][0], _more(b[j][1], "?"), *b[j][2:]])
             j += 1
     joined: list[Node] = []
     for node in out:  # neighbours of one tag are one repeated group
         if joined and joined[-1][0] == node[0]:
-            joined[-1] = _one(joined[-1], node)
+            joined[-1] = _one(joined[-1], node, max)
             joined[-1][1] = "*" if "?" in (joined[-1][1], node[1]) or joined[-1][1] == "*" else "+"
         else:
             joined.append(node)
@@ -184,20 +199,25 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
 def expression(nodes: list[Node]) -> str:
     """The wrapper as text, e.g. ``<body>(<nav>#"..."</nav>)?(<p>#</p>)+</body>``."""
     out = []
-    for tag, many, inner in nodes:
+    for tag, many, inner, *_ in nodes:
         body = ("#" if inner is None else f"#{inner:08x}") if tag == "#" else f"<{tag}>{expression(inner)}</{tag.split('.')[0]}>"
         out.append(body if many == "1" else f"({body}){many}")
     return "".join(out)
 
 
-def _slots(nodes: list[Node], path: str = "") -> Iterator[tuple[str, int | None]]:
-    for tag, _, inner in nodes:
+def _slots(nodes: list[Node], path: str = "") -> Iterator[tuple[str, int | None, int]]:
+    for tag, _, inner, *pages in nodes:
         if tag == "#":
-            yield path, inner
+            yield path, inner, pages[0]
         else:
             yield from _slots(inner, f"{path}/{tag}" if path else tag)
 
 
+def _uncounted(nodes: list[Node]) -> list[Node]:
+    """The same for a page whose text is counted already."""
+    return [[*node[:3], 0] if node[0] == "#" else [node[0], node[1], _uncounted(node[2])] for node in nodes]
+
+
 def _aside(path: list[str]) -> bool:
     """Whether a slot's elements mark it as menu, header, footer, sidebar, notice, advert, form or comments."""
     inside = False
@@ -215,13 +235,15 @@ def _within(path: list[str]) -> bool:
     return any(e.split(".")[0] in ("article", "main") or "main" in e.split(".")[1:] for e in path)
 
 
-def main_slots(wrapper: list[Node], pages: int) -> tuple[set[str], set[str]]:
-    """Paths of a wrapper's slots that hold main text: inside an article, and outside one.
+def main_slots(wrapper: list[Node], bodies: int) -> tuple[set[str], set[str], set[tuple[str, int]]]:
+    """Paths of a wrapper's slots that hold main text, inside an article and outside one, and the template text outside.
 
-    Outside an article, text that never differs over three pages or more is template text.
+    Template text is a slot that never differs, in three different pages or
+    more and in most of the host's ``bodies`` different pages. Only this text
+    is named by path and hash: other text at the same path is main text.
     """
-    within, outside, fixed = set(), set(), set()
-    for path, constant in _slots(wrapper):
+    within, outside, template = set(), set(), set()
+    for path, constant, pages in _slots(wrapper):
         parts = path.split("/") if path else []
         if _aside(parts):
             continue
@@ -229,61 +251,87 @@ def main_slots(wrapper: list[Node], pages: int) -> tuple[set[str], set[str]]:
             within.add(path)
         else:
             outside.add(path)
-            if constant is not None and pages >= 3:
-                fixed.add(path)
-    return within, outside - fixed
+            if constant is not None and pages >= 3 and 2 * pages > bodies:
+                template.add((path, constant))
+    return within, outside, template
 
 
-def page_text(texts: list[tuple[str, str]], within: set[str], outside: set[str]) -> str:
+def page_text(texts: list[tuple[str, str]], within: set[str], outside: set[str], template: set[tuple[str, int]]) -> str:
     """Blocks of the main part: those inside the article if the page has one, the rest otherwise."""
     article = [t for path, t in texts if path in within]
-    return "\n\n".join(article or [t for path, t in texts if path in outside])
+    return "\n\n".join(article or [t for path, t in texts if path in outside and (path, _hash(t)) not in template])
+
+
+def _body(texts: list[tuple[str, str]]) -> int:
+    """Key of a page's text without menus and the like; pages with the same key count as one."""
+    main = [t for path, t in texts if not _aside(path.split("/"))]
+    return int.from_bytes(hashlib.blake2b("\n".join(main).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> DataFrame:
-    """One row a host: host, wrapper (as JSON), expression and pages."""
+    """One row a host: host, wrapper (as JSON), pages (rows) and bodies (different pages)."""
 
-    def folded(found: dict) -> pa.RecordBatch:
-        rows = [(host, json.dumps(w, separators=(",", ":")), n) for host, (w, n, _) in found.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["host", "wrapper", "pages"])
+    def packed(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each different page of a few thousand once, with its number of rows."""
+        names, types = ["host", "body", "tree", "pages"], [pa.string(), pa.int64(), pa.string(), pa.int64()]
         found: dict = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                add(found, host, generalise(blocks(page or "")[0]), 1)
+                tree, texts = blocks(page or "")
+                key = (host, _body(texts), json.dumps(generalise(tree), separators=(",", ":")))
+                found[key] = found.get(key, 0) + 1
             if len(found) > 5000:
-                yield folded(found)
+                yield packed([(*k, n) for k, n in found.items()], names, types)
                 found.clear()
-        yield folded(found)
+        yield packed([(*k, n) for k, n in found.items()], names, types)
 
-    def add(found: dict, host: str | None, new: list[Node], pages: int) -> None:
+    def folded(found: dict) -> pa.RecordBatch:
+        rows = [(host, json.dumps(w, separators=(",", ":")), *counts) for host, (w, *counts) in found.items()]
+        return packed(rows, ["host", "wrapper", "pages", "bodies"], [pa.string(), pa.string(), pa.int64(), pa.int64()])
+
+    def add(found: dict, host: str | None, new: list[Node], pages: int, bodies: int) -> None:
         if host not in found:
-            found[host] = [new, pages, set()]
+            found[host] = [new, pages, bodies]
             return
         entry = found[host]
-        key = zlib.crc32(repr(new).encode("utf-8", "replace"))
-        if key not in entry[2]:
-            if len(entry[2]) < 20_000:
-                entry[2].add(key)
-            entry[0] = align(entry[0], new)
-        entry[1] += pages
+        entry[0], entry[1], entry[2] = align(entry[0], new), entry[1] + pages, entry[2] + bodies
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        last = seen = None
+        for batch in batches:
+            for host, body, tree, pages in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (host, body, tree) == last:  # sorted: the same page from another task
+                    found[host][1] += pages
+                    continue
+                if found and host not in found and len(found) > 5000:
+                    yield folded(found)
+                    found.clear()
+                new = json.loads(tree)
+                counted = (host, body) == seen
+                add(found, host, _uncounted(new) if counted else new, pages, 0 if counted else 1)
+                last, seen = (host, body, tree), (host, body)
+        yield folded(found)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = {}
         for batch in batches:
-            for host, wrapper, pages in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for host, wrapper, pages, bodies in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if found and host not in found:  # sorted by host
                     yield folded(found)
                     found.clear()
-                add(found, host, json.loads(wrapper), pages)
+                add(found, host, json.loads(wrapper), pages, bodies)
         if found:
             yield folded(found)
 
     rows = chosen(pages, host=host_col, html=html_col)
-    partial = rows.mapInArrow(fold, "host string, wrapper string, pages long")
-    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(finish, "host string, wrapper string, pages long")
+    different = rows.mapInArrow(trees, "host string, body long, tree string, pages long")
+    partial = different.repartition("host", "body").sortWithinPartitions("host", "body", "tree").mapInArrow(fold, "host string, wrapper string, pages long, bodies long")
+    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(finish, "host string, wrapper string, pages long, bodies long")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -296,13 +344,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")), F.lit("-"))
     pages = chosen(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host)
-    wrappers = checkpointed(infer_wrappers(pages))
+    wrappers = stored(infer_wrappers(pages))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             out = []
-            for page, host, wrapper, n in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "wrapper", "pages")), strict=True):
+            for page, host, wrapper, n in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "wrapper", "bodies")), strict=True):
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
@@ -313,7 +361,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     # A host with a thousandth of all pages or more, of which there are a thousand at most, is dealt to many tasks.
     total = wrappers.agg(F.sum("pages")).first()[0] or 0
     frequent = F.col("host").isin([r["host"] for r in wrappers.where(F.col("pages") * 1000 >= total).select("host").collect()])
+    # The stored table is compressed and not yet salted, so its size must not choose a broadcast.
     salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(frequent, _SALTS - 1).otherwise(0))))
     pages = pages.withColumn("salt", F.when(frequent, F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int")).otherwise(0))
-    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(salted, ["host", "salt"]).select("page_id", "url", "html", "host", "wrapper", "pages")
+    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(salted.hint("merge"), ["host", "salt"]).select("page_id", "url", "html", "host", "wrapper", "bodies")
     return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -46,6 +46,32 @@ def test_template_text_outside_an_article_is_found_by_comparing_pages(spark):
     assert got[2] == "Story 2\n\nMore 2"
 
 
+def test_text_that_one_page_has_stays_outside_an_article(spark):
+    page = "<body><div><span>Welcome back</span></div><div class=body><p>Story {n}</p><p>More {n}</p>{own}</div></body>"
+    rows = [(n, f"http://h/{n}", page.format(n=n, own="<blockquote>Said once</blockquote><h3>Lone</h3>" if n == 2 else "")) for n in range(5)]
+    got = text_of(spark, rows)
+    assert got[2] == "Story 2\n\nMore 2\n\nSaid once\n\nLone" and got[3] == "Story 3\n\nMore 3"
+    minority = [(n, f"http://m/{n}", page.format(n=n, own="<h3>Some</h3>" if n < 3 else "")) for n in range(8)]
+    assert text_of(spark, minority)[1] == "Story 1\n\nMore 1\n\nSome"
+
+
+def test_copies_of_a_page_are_not_template_text(spark):
+    page = "<body><nav>Menu {n}</nav><h1>Title</h1><div><p>Body</p></div></body>"
+    got = text_of(spark, [(n, f"http://same/{n}", page.format(n=0)) for n in range(40)] + [(100 + n, f"http://menus/{n}", page.format(n=n)) for n in range(40)])
+    assert set(got.values()) == {"Title\n\nBody"}
+
+
+def test_template_text_takes_no_other_text_at_its_path(spark):
+    page = "<body><p>Welcome back</p><div>Story {n}</div><p>More {n}</p></body>"
+    assert text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(4)])[2] == "Story 2\n\nMore 2"
+
+
+def test_counts_of_slots_are_counts_of_different_pages(spark):
+    rows = [(f"<p>Same</p><div>{n % 7}</div>",) for n in range(60)]
+    (row,) = html_wrappers.infer_wrappers(spark.createDataFrame(rows, "html string").repartition(6).withColumn("host", F.lit("h"))).collect()
+    assert (row["pages"], row["bodies"]) == (60, 7) and json.loads(row["wrapper"])[0] == ["p", "1", [["#", "1", zlib.crc32(b"Same"), 7]]]
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><h2>t</h2><p>x</p>", "<ul></ul><p>y</p><p>z</p>"]
     wrapper = []
