@@ -22,6 +22,7 @@ import json
 import operator
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,7 +49,7 @@ _SIDE_NAMES = frozenset(
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _SALTS = 64
-_DEEPEST = 150  # elements nested deeper count as siblings
+_DEEPEST = 150  # of an element nested deeper, the tree and the paths hold its nearest ancestors' kind only
 _LONGEST = 64  # siblings after folding; of longer rows each tag is one repeated group
 Node = list  # [tag, many, children] for an element, ["#", many, text hash or None, pages] for a slot; many: "1", "?", "+" or "*"
 
@@ -67,17 +68,23 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
     """A page's tree of block elements, and its text blocks in order, each with the path of its slot.
 
     Inline tags belong to the text around them; a line break is white space.
-    Unclosed paragraphs, items and cells end where the next begins.
+    Unclosed paragraphs, items and cells end where the next begins. All open
+    elements are kept; those below the depth of the tree hang, each as one
+    element that tells menu, article and other text apart, from the deepest.
     """
     root: list = ["", "1", []]
-    stack, texts, run, at = [root], [], [], 0
+    stack, names, opened, texts, run, at = [root], [""], Counter(), [], [], 0
 
     def end_text() -> None:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
             stack[-1][2].append(["#", "1", _hash(text), 1])
-            texts.append(("/".join(n[0] for n in stack[1:]), text))
+            texts.append(("/".join(n[0] for n in (stack[1:] if len(stack) <= _DEEPEST else [*stack[1:_DEEPEST], stack[-1]])), text))
+
+    def end_element() -> None:
+        stack.pop()
+        opened[names.pop()] -= 1
 
     for match in _TOKEN.finditer(page):
         if match.start() > at:
@@ -98,19 +105,23 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
             continue
         end_text()
         if close:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0].split(".")[0] == name:
-                    del stack[depth:]
-                    break
+            if opened[name]:
+                while names[-1] != name:
+                    end_element()
+                end_element()
             continue
         ends = _CLOSES.get(name, {"p"} if name in _BLOCKS_CLOSE_P else ())
-        while len(stack) > 1 and stack[-1][0].split(".")[0] in ends:
-            stack.pop()
+        while len(stack) > 1 and names[-1] in ends:
+            end_element()
         named = _words(match.group(4)) if "=" in match.group(4) else []
         node = [".".join([name, *named]), "1", []]
-        stack[-1][2].append(node)
-        if not match.group(4).rstrip().endswith("/") and len(stack) < _DEEPEST:
+        if len(stack) >= _DEEPEST:
+            node[0] = _kind([*(n[0] for n in (stack[1:] if len(stack) == _DEEPEST else stack[-1:])), node[0]])
+        stack[min(len(stack), _DEEPEST) - 1][2].append(node)
+        if not match.group(4).rstrip().endswith("/"):
             stack.append(node)
+            names.append(name)
+            opened[name] += 1
     if at < len(page):
         run.append(page[at:])
     end_text()
@@ -235,6 +246,11 @@ def _within(path: list[str]) -> bool:
     return any(e.split(".")[0] in ("article", "main") or "main" in e.split(".")[1:] for e in path)
 
 
+def _kind(path: list[str]) -> str:
+    """One element that stands for a path."""
+    return "aside" if _aside(path) else "main" if _within(path) else "div"
+
+
 def main_slots(wrapper: list[Node], bodies: int) -> tuple[set[str], set[str], set[tuple[str, int]]]:
     """Paths of a wrapper's slots that hold main text, inside an article and outside one, and the template text outside.
 

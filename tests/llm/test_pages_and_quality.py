@@ -72,6 +72,25 @@ def test_counts_of_slots_are_counts_of_different_pages(spark):
     assert (row["pages"], row["bodies"]) == (60, 7) and json.loads(row["wrapper"])[0] == ["p", "1", [["#", "1", zlib.crc32(b"Same"), 7]]]
 
 
+def test_deeply_nested_pages_keep_all_text(spark):
+    deep, end = "<div>" * 400, "</div>" * 400
+    got = text_of(
+        spark,
+        [
+            (1, "http://a/", f"<div id=page><article>{deep}deep{end}<p>rest</p></article></div>"),
+            (2, "http://b/", f"<div>out</div>{deep}<article><header>H</header><p>a</p><nav>{deep}menu{end}</nav><p>b</p></article>{end}"),
+            (3, "http://c/", f"<nav>{deep}menu{end}</nav>{deep}<h1>x</h1><footer>f</footer><p>y</p>{end}z"),
+            (4, "http://d/", f"<article>{'<section>' * 400}<p>one<ul><li>two<li>three</ul><table><tr><td>4<td>5</table></article><p>after</p>"),
+        ],
+    )
+    assert got == {1: "deep\n\nrest", 2: "H\n\na\n\nb", 3: "x\n\ny\n\nz", 4: "one\n\ntwo\n\nthree\n\n4\n\n5"}
+
+
+def test_very_deep_pages_take_linear_time():
+    texts = html_wrappers.blocks("<div>" * 100_000 + "<p>x</section>" * 20_000)[1]
+    assert len(texts) == 20_000
+
+
 def test_wrapper_is_a_union_free_expression():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><h2>t</h2><p>x</p>", "<ul></ul><p>y</p><p>z</p>"]
     wrapper = []
