@@ -192,7 +192,7 @@ def _verify(threshold: float, tolerance: float):
     return run
 
 
-def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-8, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-8, block: int = 2048, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """One row a row of ``docs``: doc_id, class_id, n_links and n_copies.
 
     Shingles are the distinct runs of ``width`` words (parted by white space);
@@ -205,9 +205,14 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tole
     their own (n_copies 1). Rows that repeat an id and a text are copies. A
     null id is the least only where all are null. An empty table gives an
     empty result.
+
+    Where ids may repeat with different texts, ``keys`` adds text_hash (xxhash64
+    of the text), which tells the rows of an id apart, and root, which tells
+    classes with the same least id apart (null without words).
     """
     spark = docs.sparkSession
-    docs = chosen(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed, rooted = (["text_hash"], ["root"]) if keys else ([], [])
+    docs = chosen(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -215,13 +220,14 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tole
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 keys, bands = [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column("text").to_pylist():
                     s = shingler(text or "")
                     keys.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
                     bands.append(_bands(minhashes(s)).view(np.int64).tolist() if len(s) else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(part.column, hashed), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", *hashed, "text_key", "bands"])
 
-    sketched = checkpointed(docs.mapInArrow(sketch, "doc_id long, text_key long, bands array<long>"))
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in hashed), "text_key long", "bands array<long>"])
+    sketched = checkpointed(docs.select("doc_id", "text", *hashed).mapInArrow(sketch, schema))
     texts = sketched.where("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
     texts = checkpointed(texts)
 
@@ -256,7 +262,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, width: int = 5, tole
     joined = texts.select("text_key", "first_id", "n_copies").join(classes.withColumnRenamed("node", "text_key"), "text_key", "left").join(links, "text_key", "left")
     joined = joined.withColumn("root", F.coalesce("root", "text_key"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    joined = joined.join(least, "root").select("text_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    worded = sketched.where("text_key is not null").select("doc_id", "text_key").join(joined, "text_key").drop("text_key")
-    alone = sketched.where("text_key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    joined = joined.join(least, "root").select("text_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", *rooted)
+    worded = sketched.where("text_key is not null").select("doc_id", *hashed, "text_key").join(joined, "text_key").drop("text_key")
+    alone = sketched.where("text_key is null").select("doc_id", *hashed, F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), *(F.lit(None).cast("long").alias(c) for c in rooted))
     return worded.unionByName(alone)

@@ -24,17 +24,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id; documents without an id stay.
 
-    A fixed-size bitmap of the ids that go, or that several rows share, keeps
-    all other texts out of the shuffle.
+    Ids may repeat: a row goes by its id and text, and of several texts of the
+    least id one stays. A fixed-size bitmap of the ids that go, or that several
+    rows share, keeps all other texts out of the shuffle.
     """
-    groups = stored(jaccard.jaccard_groups(docs).where("doc_id is not null").select("doc_id", "class_id"))
-    going = groups.where("doc_id <> class_id").select("doc_id").distinct()
+    groups = stored(jaccard.jaccard_groups(docs, keys=True).where("doc_id is not null").select("doc_id", "text_hash", "class_id", "root"))
+    least = groups.where("doc_id = class_id and root is not null").groupBy("root", "doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most")
+    others = groups.join(least, ["root", "doc_id"]).where("text_hash <> least").select("doc_id", "text_hash")
+    going = groups.where("doc_id <> class_id").select("doc_id", "text_hash").union(others).distinct().withColumnRenamed("text_hash", "_text")
     shared = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    doubtful = Bits(going.union(shared).select(F.xxhash64("doc_id").alias("slot")), "slot", 24)
+    doubtful = Bits(going.select("doc_id").union(shared).select(F.xxhash64("doc_id").alias("slot")), "slot", 24)
     columns = docs.columns
     marked = docs.withColumn("_slot", F.xxhash64(F.col("doc_id").cast("long"))).withColumn("_seen", doubtful.column("_slot") & F.col("doc_id").isNotNull())
     unique = marked.where("not _seen").select(*columns)
-    checked = marked.where("_seen").join(going, "doc_id", "left_anti").select(*columns).dropDuplicates(["doc_id", "text"])
+    checked = marked.where("_seen").withColumn("_text", F.xxhash64("text")).join(going, ["doc_id", "_text"], "left_anti").select(*columns).dropDuplicates(["doc_id", "text"])
     return unique.unionByName(checked)
 
 

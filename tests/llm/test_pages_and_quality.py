@@ -152,3 +152,12 @@ def test_near_copy_stage_keeps_rows_without_id_and_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, "other words are here now")], "doc_id long, text string")
     got = corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect()
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 3]
+
+
+def test_near_copy_stage_tells_texts_of_one_id_apart(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(60)) for c in "abcd")
+    rows = [(1, one), (2, one + " more"), (2, two), (2, two), (3, three), (3, three + " more"), (4, four), (4, None), (5, three), (4, two + " more")]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert kept.count((1, one)) == kept.count((2, two)) == kept.count((4, four)) == kept.count((4, None)) == 1
+    assert len(kept) == 5 and sum(r[0] == 3 for r in kept) == 1
