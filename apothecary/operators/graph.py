@@ -1,4 +1,4 @@
-"""Interaction graphs: node features, both-way edges, attention weights and negative samples."""
+"""Interaction graphs: node features, both-way edges and attention weights."""
 
 from __future__ import annotations
 
