@@ -4,7 +4,8 @@ Positive-unlabelled learning: with the class prior p, the risk of a scorer is
 p R_P(+) + max(0, R_U(-) - p R_P(-)), where the second part estimates the
 risk on negatives without seeing any and is kept from going below zero. The
 prior is estimated from a first classifier of positives against unlabelled
-text. The scorer is a small network on figures of the text alone.
+text. The scorer is a small network on the text alone: figures of its surface
+and the shares of hashed byte trigrams and hashed words.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apothecary.llm.common import chosen
+from apothecary.llm.common import chosen, slices
+from apothecary.llm.jaccard import word_hashes
 
 _SYMBOLS = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"!?()-|" for b in range(256)], dtype=float)
 _UPPER = np.array([65 <= b < 91 for b in range(256)], dtype=float)
@@ -28,8 +30,24 @@ _DIGIT = np.array([48 <= b < 58 for b in range(256)], dtype=float)
 _ONE = {c: np.eye(1, 256, ord(c))[0] for c in "!|\n.,"}
 
 
+_HASHED = 256  # buckets of trigrams, and as many of words
+
+
+def _hashed(data: np.ndarray, words: list[str]) -> np.ndarray:
+    """The shares of byte trigrams and of words in each bucket."""
+    out = np.zeros(2 * _HASHED)
+    if len(data) > 2:
+        wide = data.astype(np.uint32)
+        codes = (wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]) * np.uint32(2_654_435_761)
+        out[:_HASHED] = np.bincount(codes >> np.uint32(24), minlength=_HASHED) / len(codes)
+    if words:
+        out[_HASHED:] = np.bincount((word_hashes(words) >> np.uint64(56)).astype(np.int64), minlength=_HASHED) / len(words)
+    return out
+
+
 def features(texts: list[str]) -> np.ndarray:
     """A row of figures for each text; zeros for an empty one."""
+    hashed = np.zeros((len(texts), 2 * _HASHED))
     histogram, others = np.zeros((len(texts), 256)), np.zeros((len(texts), 6))
     for k, text in enumerate(texts):
         data = text.encode()
@@ -37,6 +55,7 @@ def features(texts: list[str]) -> np.ndarray:
             continue
         words = text.split()
         n = max(1, len(words))
+        hashed[k] = _hashed(np.frombuffer(data, dtype=np.uint8), words)
         histogram[k] = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
         others[k] = (
             np.log1p(len(data)),
@@ -50,13 +69,26 @@ def features(texts: list[str]) -> np.ndarray:
     n = np.maximum(1, others[:, 5])
     counts = histogram @ np.stack([_SYMBOLS, _UPPER, _LETTER, _DIGIT, *_ONE.values()], axis=1)
     shares = [counts[:, 0] / size, counts[:, 1] / np.maximum(1, counts[:, 2]), counts[:, 3] / size, *(counts[:, 4 + k] / n for k in range(5))]
-    return np.column_stack([others[:, 0], others[:, 1], others[:, 2], others[:, 3], np.minimum(50, others[:, 4]), *(np.log1p(20 * s) for s in shares)])
+    return np.column_stack([others[:, 0], others[:, 1], others[:, 2], others[:, 3], np.minimum(50, others[:, 4]), *(np.log1p(20 * s) for s in shares), hashed])
+
+
+def _ratios(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """Log ratios of the mean shares of each bucket in the two sets: a column for trigrams, one for words."""
+    p, u = (x[:, -2 * _HASHED :].mean(axis=0) + 1e-5 for x in (positive, unlabelled))
+    out = np.zeros((2 * _HASHED, 2))
+    out[:_HASHED, 0], out[_HASHED:, 1] = np.log(p / u)[:_HASHED], np.log(p / u)[_HASHED:]
+    return out
 
 
 @dataclass
 class Scorer:
-    """A network with one hidden layer; scores are between 0 and 1, higher for better texts."""
+    """A network with one hidden layer; scores are between 0 and 1, higher for better texts.
 
+    Its inputs are the figures of ``features`` with the hashed shares summed
+    up by ``ratios``, if there are any.
+    """
+
+    ratios: np.ndarray | None
     mean: np.ndarray
     spread: np.ndarray
     w1: np.ndarray
@@ -65,8 +97,11 @@ class Scorer:
     b2: float
     prior: float
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return x if self.ratios is None else np.column_stack([x[:, : -2 * _HASHED], x[:, -2 * _HASHED :] @ self.ratios])
+
     def margin(self, x: np.ndarray) -> np.ndarray:
-        hidden = np.tanh(np.clip((x - self.mean) / self.spread, -6, 6) @ self.w1 + self.b1)
+        hidden = np.tanh(np.clip((self.inputs(x) - self.mean) / self.spread, -6, 6) @ self.w1 + self.b1)
         return hidden @ self.w2 + self.b2
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -88,9 +123,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
 
 def _fit(positive, unlabelled, prior, hidden, rounds, batch, seed, guarded) -> Scorer:
     rng = np.random.default_rng(seed)
+    ratios = _ratios(positive, unlabelled) if positive.shape[1] > 2 * _HASHED else None
+    scorer = Scorer(ratios, *[np.empty(0)] * 5, 0.0, prior)
+    positive, unlabelled = scorer.inputs(positive), scorer.inputs(unlabelled)
     both = np.vstack([positive, unlabelled])
     d = both.shape[1]
-    scorer = Scorer(both.mean(axis=0), both.std(axis=0) + 1e-6, rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0, prior)
+    scorer = Scorer(ratios, both.mean(axis=0), both.std(axis=0) + 1e-6, rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0, prior)
     p, u = (np.clip((x - scorer.mean) / scorer.spread, -6, 6) for x in (positive, unlabelled))
     params = [scorer.w1, scorer.b1, scorer.w2, np.zeros(1)]
     moment, square = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
@@ -135,34 +173,35 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 3)
     return float(np.clip(((above_u) / np.maximum(above_p, 1e-9)).min(), 0.05, 0.98))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Scorer | None:
+def train(docs: DataFrame, labels: DataFrame, most: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> Scorer | None:
     """A scorer from at most ``most`` trusted positives and about as many unlabelled texts (documented bounds).
 
     Only rows outside the held-out third take part, and of their labels only
-    ``quality = 1``; the share of those among the labelled rows, where it is
-    less, stands for the estimated prior. The prior is taken a little low: the
-    risk stays sound then, while too high a prior makes the guard hold
-    everything for positive. None where either set is empty.
+    that ``quality`` is 1: rows labelled otherwise, or null, are unlabelled
+    text like all others, and a label given twice counts once. The prior is
+    estimated from those two sets alone and taken 3 % low: the risk stays
+    sound then, while too high a prior makes the guard hold everything for
+    positive. None where either set is empty.
     """
     docs = chosen(docs, doc_id=id_col, text=text_col).where(~held_out("doc_id"))
     drawn = F.xxhash64(F.col("doc_id").cast("long"), F.lit(11))
-    audited = labels.where(~held_out("doc_id")).agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out("doc_id")).distinct()
     trusted = trusted.orderBy(drawn, "doc_id").limit(most)
     share = min(1.0, most / max(1, docs.count()))
-    other = docs.where(F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30)))
+    other = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["x"])
+            for part in slices(batch, "text"):
+                x = features([t or "" for t in part.column(0).to_pylist()]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32()))], names=["x"])
 
-    positive = docs.join(F.broadcast(trusted), "doc_id", "left_semi").select("text").mapInArrow(figures, "x array<double>")
-    unlabelled = other.select("text").mapInArrow(figures, "x array<double>")
+    positive = docs.join(F.broadcast(trusted), "doc_id", "left_semi").select("text").mapInArrow(figures, "x array<float>")
+    unlabelled = other.select("text").mapInArrow(figures, "x array<float>")
     p, u = (np.array([r.x for r in df.limit(2 * most).collect()]) for df in (positive, unlabelled))
     if not len(p) or not len(u):
         return None
-    return fit(p, u, 0.97 * min(estimate_prior(p, u), audited or 1.0))
+    return fit(p, u, 0.97 * estimate_prior(p, u))
 
 
 def held_out(column: str):
@@ -170,30 +209,28 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, scorer: Scorer | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with score and predicted (1 from a score of 0.5); without a scorer all texts get 1.
+def score_column(scorer: Scorer | None, text: Column) -> Column:
+    """The score of a text, 0 to 1; null texts count as empty, and without a scorer all texts get 1."""
+    if scorer is None:
+        return F.lit(1.0)
 
-    Null texts count as empty. Columns of these names are replaced.
-    """
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in rest])
-    place = rest.index(text_col)
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        out = [scorer(features([t or "" for t in part.column(0).to_pylist()])) for part in slices(batch, "text")]
+        return pa.array(np.concatenate(out) if out else np.empty(0))
 
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
+    return scored(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [t or "" for t in part.column(place).to_pylist()]
-                s = scorer(features(texts)) if scorer else np.ones(len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*rest, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+def score(docs: DataFrame, scorer: Scorer | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with score and predicted (1 from a score of 0.5); columns of these names are replaced."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    scored = docs.select(*rest, score_column(scorer, F.col(f"`{text_col}`")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of ``docs``: doc_id, held_out, score, predicted.
 
     Null texts are scored as empty ones; a null id is not held out; repeated

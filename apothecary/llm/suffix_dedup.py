@@ -27,16 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from apothecary.llm.common import Bits, stored
+from apothecary.llm.common import Bits, slices, stored
 
 _Q = 32
 _CELL = 17  # neighbouring offsets refined together
 _FIRST = -(2**63)  # the order of a null id
+_LOAD = 1 << 19  # bytes of text that a task searches at a time
 _U = np.uint64
 
 
@@ -120,72 +120,97 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), ends - sizes, ends
 
 
-def _groups(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about ``most`` bytes of text, a row at least: what a task holds at a time."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("data")), 0).to_pylist()
-    at, total = 0, 0
-    for k, n in enumerate(sizes):
-        if k > at and total + n > most:
-            yield batch.slice(at, k - at)
-            at, total = k, 0
-        total += n
-    if len(sizes) > at:
-        yield batch.slice(at)
+def _loads(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Rows, places and bytes of the texts of a batch, about ``_LOAD`` bytes at a time.
+
+    A longer text comes in parts, each a load by itself, that overlap by
+    ``length`` - 1 bytes: every string of ``length`` bytes is whole in one.
+    """
+    rows, parts, total = [], [], 0
+    for part in slices(batch, "data", _LOAD):
+        for row, text in zip(part.column("row").to_pylist(), part.column("data").to_pylist(), strict=True):
+            if parts and total + len(text) > _LOAD:
+                yield rows, [0] * len(rows), parts
+                rows, parts, total = [], [], 0
+            if len(text) > _LOAD:
+                for at in range(0, len(text) - length + 1, _LOAD):
+                    yield [row], [at], [text[at : at + _LOAD + length - 1]]
+                continue
+            rows.append(row)
+            parts.append(text)
+            total += len(text)
+    if parts:
+        yield rows, [0] * len(rows), parts
+
+
+def _numbered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.append_column("row", pa.array(np.arange(batch.num_rows)))
 
 
 def _anchors(length: int, shared: Bits | None = None):
-    """Rows (kind 0: anchors; 1: settled repeats) of bucket, range, key, start, number of starts and tag.
+    """Rows (kind 0: anchors; 1: settled repeats) of bucket, range, key, tag, start and number of starts.
 
     With ``shared``, of the anchors only those whose bucket may hold others.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _groups(batch):
-                texts = part.column("data").to_pylist()
+        for batch in map(_numbered, batches):
+            keys, tags = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tag"))
+            before = np.empty(0, dtype=_U)  # classes in the parts of a long text so far
+            for rows, places, texts in _loads(batch, length):
                 data, begins, ends = _joined(texts)
                 bucket, ranged, first, last, back, cells = _runs(data, ends, length)
-                row = np.searchsorted(ends, first, side="right")
-                key = part.column("key").to_numpy(zero_copy_only=False)[row]
-                tag = part.column("tag").to_numpy(zero_copy_only=False)[row]
-                start = first - begins[row]
+                piece = np.searchsorted(ends, first, side="right")
+                row, start = np.array(rows)[piece], first - begins[piece] + np.array(places)[piece]
+                key, tag = keys[row], tags[row]
                 order = np.lexsort((start, tag, key, ranged, bucket))
                 columns = [x[order] for x in (bucket, ranged, key, tag, start)]
                 equal = [np.r_[False, x[1:] == x[:-1]] if len(x) else np.zeros(0, dtype=bool) for x in columns]
                 member = equal[0] & equal[1]  # not the first of its class
                 head = np.maximum.accumulate(np.where(member, 0, np.arange(len(order))))
                 again = member & ((columns[2] != columns[2][head]) | (equal[2] & equal[3]))
+                if len(rows) == 1:
+                    kinds = _mixed(bucket, ranged, 9)
+                    again |= np.isin(kinds[order], before) & (places[0] > 0)
+                    before = np.union1d(before, kinds) if places[0] else kinds
                 copy = member & equal[2] & equal[3] & equal[4]  # of a row given twice
                 keep = ~copy & (again | shared.has(columns[0].view(np.int64))) if shared else ~copy
                 kind, order = again[keep].astype(np.int64), order[keep]
                 bucket, ranged, key, tag, start, first, last, back, cells = (x[order] for x in (bucket, ranged, key, tag, start, first, last, back, cells))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (kind, bucket.view(np.int64), ranged.view(np.int64), key, (start << 20) | ((last - first + 1) << 12) | tag, back, cells[:, 0], cells[:, 1])],
-                    names=["kind", "bucket", "ranged", "key", "at", "back", "cells", "more_cells"],
+                    [pa.array(x) for x in (kind, bucket.view(np.int64), ranged.view(np.int64), key, tag, (start << 8) | (last - first + 1), back, cells[:, 0], cells[:, 1])],
+                    names=["kind", "bucket", "ranged", "key", "tag", "at", "back", "cells", "more_cells"],
                 )
 
     return find
 
 
 def _strings(length: int):
-    """Rows (string, key, start) of every start of the given ranges of a text; kind 1: repeated in this text."""
+    """Rows (string, key, tag, start) of every start of the given ranges of a text; kind 1: repeated in this text.
+
+    A text goes part by part, with the strings that it held before in mind.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (g for whole in batches for g in _groups(whole)):
-            for key, tag, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("key", "tag", "data", "ranges")), strict=True):
-                data = np.frombuffer(text, dtype=np.uint8)
-                starts = np.unique(np.concatenate([np.arange(a, a + n) for a, n in _unpacked(ranges)]))
-                strings = np.empty(len(starts), dtype=_U)
-                for low in range(0, len(data), 1 << 18):  # long texts go block by block
-                    inside = (starts >= low) & (starts < low + (1 << 18))
-                    if inside.any():
-                        strings[inside] = _Buckets(data[low : low + (1 << 18) + length], length).strings(starts[inside] - low)
-                kind = np.ones(len(starts), dtype=np.int64)
-                kind[np.unique(strings, return_index=True)[1]] = 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind), pa.array(strings.view(np.int64)), pa.array(np.full(len(starts), key, dtype=np.int64)), pa.array((starts << 20) | (1 << 12) | tag)],
-                    names=["kind", "string", "key", "at"],
-                )
+        for part in (p for batch in batches for p in slices(batch, "data", _LOAD)):
+            for key, tag, text, ranges in zip(*(part.column(n).to_pylist() for n in ("key", "tag", "data", "ranges")), strict=True):
+                data, spans = np.frombuffer(text, dtype=np.uint8), np.array(_unpacked(ranges), dtype=np.int64).reshape(-1, 2)
+                before = np.empty(0, dtype=_U)
+                for low in range(0, len(data), _LOAD):
+                    near = spans[(spans[:, 0] < low + _LOAD) & (spans[:, 0] + spans[:, 1] > low)]
+                    if not len(near):
+                        continue
+                    starts = np.unique(np.concatenate([np.arange(max(a, low), min(a + n, low + _LOAD)) for a, n in near]))
+                    strings = _Buckets(data[low : low + _LOAD + length], length).strings(starts - low)
+                    kind = np.ones(len(starts), dtype=np.int64)
+                    kind[np.unique(strings, return_index=True)[1]] = 0
+                    kind[np.isin(strings, before)] = 1
+                    if len(data) > low + _LOAD:
+                        before = np.union1d(before, strings)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(kind), pa.array(strings.view(np.int64)), *(pa.array(np.full(len(starts), x, dtype=np.int64)) for x in (key, tag)), pa.array((starts << 8) | 1)],
+                        names=["kind", "string", "key", "tag", "at"],
+                    )
 
     return find
 
@@ -194,7 +219,7 @@ def _cut(length: int):
     """What is left of each text, and what was removed; ``rest`` goes along."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (g for whole in batches for g in _groups(whole)):
+        for batch in (g for whole in batches for g in slices(whole, "data", _LOAD)):
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
             for doc_id, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "data", "ranges")), strict=True):
                 spans: list[list[int]] = []
@@ -228,27 +253,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     removed run). The columns named in ``carry`` come along in a struct ``rest``.
 
     Null texts count as empty; a null id comes before all others; texts
-    shorter than ``length`` stay whole. Rows that share an id come at one
-    place in the order: none is earlier than another, and a row given twice
-    gets the same result twice. An empty table gives an empty result.
+    shorter than ``length`` stay whole; long ones are searched part by part.
+    Rows that share an id come at one place in the order: none is earlier than
+    another, and a row given twice gets the same result twice. They are told
+    apart by a 64-bit hash of their text. An empty table gives an empty result.
     ``length`` is 84 to 128.
     """
     if not 84 <= length <= 128:
         raise ValueError("length is 84 to 128")
-    rest = F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(True).alias("given"))
+    rest = F.struct(*([F.col(f"`{c}`") for c in carry] or [F.lit(True).alias("given")]))
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest")).select(
         "rest",
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("doc_id", F.lit(_FIRST)).cast("long").alias("key"),
-        F.pmod(F.xxhash64("text"), F.lit(4096)).alias("tag"),
+        F.xxhash64("text").alias("tag"),
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"),
     )
     long = docs.where(F.length("data") >= length).select("key", "tag", "data")
-    columns = "kind long, bucket long, ranged long, key long, at long, back long, cells long, more_cells long"
+    columns = "kind long, bucket long, ranged long, key long, tag long, at long, back long, cells long, more_cells long"
     counts = long.mapInArrow(_anchors(length), columns).where("kind = 0").groupBy("bucket").count()
     repeated = stored(counts.where("count > 1").select("bucket"))
-    found = stored(long.mapInArrow(_anchors(length, Bits(repeated, "bucket", 26)), columns))
-    settled = found.where("kind = 1").select("key", "at")
+    found = stored(long.mapInArrow(_anchors(length, Bits(repeated, "bucket", repeated.count())), columns))
+    text = ("key", "tag")
+    settled = found.where("kind = 1").select(*text, "at")
 
     anchors = found.where("kind = 0").drop("kind")
     classes = anchors.groupBy("bucket", "ranged").agg(F.min("key").alias("first"), F.count("*").alias("n"))
@@ -258,14 +285,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     members = anchors.join(refined, ["bucket", "ranged"]).where("key <> first or split")
     is_first = F.col("key") == F.col("first")
     details = [F.when(is_first, F.col(c)).alias(c) for c in ("bucket", "back", "cells", "more_cells")]
-    members = stored(members.select("key", "at", is_first.alias("is_first"), *details))
-    again = members.where("not is_first").select("key", "at")
+    members = stored(members.select(*text, "at", is_first.alias("is_first"), *details))
+    again = members.where("not is_first").select(*text, "at")
     open_ranges = stored(_by_text(_alike_cells(members.where("is_first"))))
-    strings = _parted(docs, open_ranges)[1].where("ranges is not null").select("key", "tag", "data", "ranges")
-    strings = stored(strings.mapInArrow(_strings(length), "kind long, string long, key long, at long"))
+    strings = _parted(docs, open_ranges)[1].where("ranges is not null").select(*text, "data", "ranges")
+    strings = stored(strings.mapInArrow(_strings(length), "kind long, string long, key long, tag long, at long"))
     earliest = strings.where("kind = 0").groupBy("string").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    late = stored(strings.where("kind = 0").join(earliest, "string").where("key <> first").select("key", "at"))
-    late = late.unionByName(strings.where("kind = 1").select("key", "at"))
+    late = stored(strings.where("kind = 0").join(earliest, "string").where("key <> first").select(*text, "at"))
+    late = late.unionByName(strings.where("kind = 1").select(*text, "at"))
 
     removed = stored(_by_text(settled.unionByName(again).unionByName(late)))
     result = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>").add(docs.schema["rest"])
@@ -276,8 +303,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
 def _parted(docs: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that surely have no ranges, which stay where they are, and the others joined to theirs."""
-    seen = Bits(ranges.select(F.xxhash64("key").alias("slot")), "slot", 24).column("slot")
-    marked = docs.withColumn("slot", F.xxhash64("key")).withColumn("seen", seen)
+    slot = F.xxhash64("key", "tag")
+    seen = Bits(ranges.select(slot.alias("slot")), "slot", ranges.count()).column("slot")
+    marked = docs.withColumn("slot", slot).withColumn("seen", seen)
     return marked.where("not seen"), marked.where("seen").join(ranges.hint("shuffle_hash"), ["key", "tag"], "left")
 
 
@@ -285,21 +313,21 @@ def _alike_cells(anchors: DataFrame) -> DataFrame:
     """Of the anchors' ranges the parts of which another anchor of the bucket has an equal core."""
     core = [F.shiftrightunsigned(F.col("cells" if cell < 4 else "more_cells"), 16 * (cell % 4)).bitwiseAND(65535) for cell in range(8)]
     cells = F.array(*[F.struct(F.lit(cell).alias("cell"), c.alias("core")) for cell, c in enumerate(core)])
-    rows = anchors.withColumn("one", F.explode(F.filter(cells, lambda c: c["core"] > 0))).select("bucket", "key", "at", "back", "one.cell", "one.core")
+    rows = anchors.withColumn("one", F.explode(F.filter(cells, lambda c: c["core"] > 0))).select("bucket", "key", "tag", "at", "back", "one.cell", "one.core")
     alike = rows.groupBy("bucket", "cell", "core").count().where("count > 1").select("bucket", "cell", "core")
     rows = rows.join(alike, ["bucket", "cell", "core"], "left_semi")
-    start = F.shiftright("at", 20)
+    start = F.shiftright("at", 8)
     nearest = start + F.col("back") - F.col("cell") * _CELL
     low = F.greatest(start, nearest - (_CELL - 1))
-    high = F.least(start + F.shiftright("at", 12).bitwiseAND(255) - 1, nearest)
-    return rows.select("key", (F.shiftleft(low, 20) + F.shiftleft(high - low + 1, 12) + F.col("at").bitwiseAND(4095)).alias("at"))
+    high = F.least(start + F.col("at").bitwiseAND(255) - 1, nearest)
+    return rows.select("key", "tag", (F.shiftleft(low, 8) + (high - low + 1)).alias("at"))
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
-    """The ranges of each text in one array, packed as they are: start, number of starts, tag."""
-    return rows.groupBy("key", F.col("at").bitwiseAND(4095).alias("tag")).agg(F.collect_list("at").alias("ranges"))
+    """The ranges of each text, told apart by key and 64-bit hash, in one array, packed as they are: start, number of starts."""
+    return rows.groupBy("key", "tag").agg(F.collect_list("at").alias("ranges"))
 
 
 def _unpacked(ranges: list[int] | None) -> list[tuple[int, int]]:
     """First start and number of starts of each range, in order."""
-    return sorted((r >> 20, (r >> 12) & 255) for r in ranges or ())
+    return sorted((r >> 8, r & 255) for r in ranges or ())

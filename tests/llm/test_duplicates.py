@@ -62,6 +62,45 @@ def test_suffix_dedup_of_repeated_rows_null_ids_and_nothing(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).collect() == []
 
 
+def brute_repeats_of_places(rows, n=100):
+    """Rows of one id share one place: a string repeats one of a smaller id, or one earlier in its own text."""
+    below, out = {}, {}
+    order = lambda i: (i is not None, i or 0)
+    for i in sorted({i for i, _ in rows}, key=order):
+        found = set()
+        for text in {t for j, t in rows if j == i}:
+            data, seen = text.encode(), set()
+            gone = bytearray(len(data))
+            for at in range(len(data) - n + 1):
+                s = data[at : at + n]
+                if s in below or s in seen:
+                    gone[at : at + n] = b"\1" * n
+                seen.add(s)
+            found |= seen
+            out[i, len(data), hashlib.sha256(bytes(b for b, g in zip(data, gone, strict=True) if not g)).hexdigest()] = sum(gone)
+        below.update(dict.fromkeys(found))
+    return out
+
+
+@pytest.mark.parametrize("shared_id", [7, None])
+def test_suffix_dedup_of_a_thousand_rows_of_one_id(spark, shared_id):
+    rng = random.Random(3)
+    letters = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = letters(150)
+    rows = [(1, letters(80) + passage + letters(200))] + [(shared_id, letters(rng.randrange(90, 160)) + passage * (k % 2) + letters(rng.randrange(90))) for k in range(1000)]
+    rows += [(9, passage + letters(50) + passage[:120])]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["n_bytes"], r["kept_sha256"]): r["n_removed"] for r in got} == brute_repeats_of_places(rows)
+
+
+def test_suffix_dedup_of_long_texts_part_by_part(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_LOAD", 333)
+    rows = texts + [(900, "ab" * 1500), (901, "".join(t or "" for _, t in texts[:20])), (902, "".join(t or "" for _, t in texts[5:25]) * 2)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows)
+
+
 def shingles(text):
     w = (text or "").split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
@@ -78,9 +117,9 @@ def brute_groups(rows):
     return {i: (root[s], len(links[s]), sum(o == s for o in sets.values())) if s else (i, 0, 1) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_jaccard_groups(spark, texts, block):
-    got = jaccard.jaccard_groups(frame(spark, texts), block=block).collect()
+@pytest.mark.parametrize(("block", "most"), [(2048, 1 << 20), (7, 1 << 20), (2048, 600)])
+def test_jaccard_groups(spark, texts, block, most):
+    got = jaccard.jaccard_groups(frame(spark, texts), block=block, block_shingles=most).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in got} == brute_groups(texts)
 
 
@@ -90,6 +129,26 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_groups(frame(spark, [])).collect() == []
 
 
+def test_a_long_chain_of_sets_is_compared_bucket_by_bucket(spark, monkeypatch):
+    """Texts that slide along one another link far more texts than are alike."""
+    words = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(words[k : k + 60])) for k in range(0, 800, 3)]
+    chosen = []
+    dealt = jaccard._dealt
+    monkeypatch.setattr(jaccard, "_dealt", lambda *a: chosen.append(dealt(*a)) or chosen[-1])
+    got = jaccard.jaccard_groups(frame(spark, rows), block=2).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in got} == brute_groups(rows)
+    assert chosen[0].where("band >= 0").count() > 0
+
+
+def test_shingles_of_long_texts_go_block_by_block(monkeypatch):
+    words = [f"w{k * k % 977}é" for k in range(3000)] + ["x" * 5000, "y"] + ["z"] * 9
+    whole = jaccard.word_hashes(words)
+    monkeypatch.setattr(jaccard, "_BLOCK", 700)
+    assert (jaccard.word_hashes(words) == whole).all() and len(whole) == len(words)
+    assert len(set(whole.tolist())) == len(set(words))
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = jaccard.least_matches(0.8, 1e-8)
     assert all(m < 0.75 * n for n, m in least.items()) and max(least) == jaccard.ROWS * jaccard.BANDS
