@@ -16,40 +16,53 @@ ORACLE_SQL = None  # a classifier and an exact byte-string match are not SQL
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null texts count as empty; rows without an id are scored like others;
+    repeated rows stay; an empty table stays empty. No column is added or
+    changed, whatever its name.
+    """
     scorer = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, scorer).where("predicted = 1").select(*docs.columns)
+    return docs.where(quality.score_column(scorer, F.col("text")) >= 0.5)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id; documents without an id stay.
+    """Of each group of near copies the document with the least id; documents without an id, a text or a word stay.
 
     Ids may repeat: a row goes by its id and text, and of several texts of the
-    least id one stays. A fixed-size bitmap of the ids that go, or that several
-    rows share, keeps all other texts out of the shuffle.
+    least id one stays, as of a row given twice. A bitmap of the ids that go,
+    or that several rows share, keeps all other texts out of the shuffle. An
+    empty table stays empty; columns of any name pass through.
     """
     groups = stored(jaccard.jaccard_groups(docs, keys=True).where("doc_id is not null").select("doc_id", "text_hash", "class_id", "root"))
     least = groups.where("doc_id = class_id and root is not null").groupBy("root", "doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most")
     others = groups.join(least, ["root", "doc_id"]).where("text_hash <> least").select("doc_id", "text_hash")
-    going = groups.where("doc_id <> class_id").select("doc_id", "text_hash").union(others).distinct().withColumnRenamed("text_hash", "_text")
-    shared = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    doubtful = Bits(going.select("doc_id").union(shared).select(F.xxhash64("doc_id").alias("slot")), "slot", 24)
-    columns = docs.columns
-    marked = docs.withColumn("_slot", F.xxhash64(F.col("doc_id").cast("long"))).withColumn("_seen", doubtful.column("_slot") & F.col("doc_id").isNotNull())
-    unique = marked.where("not _seen").select(*columns)
-    checked = marked.where("_seen").withColumn("_text", F.xxhash64("text")).join(going, ["doc_id", "_text"], "left_anti").select(*columns).dropDuplicates(["doc_id", "text"])
-    return unique.unionByName(checked)
+    going = stored(groups.where("doc_id <> class_id").select("doc_id", "text_hash").union(others).distinct().select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")))
+    shared = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    doubtful = Bits(going.select("_id").union(shared).select(F.xxhash64("_id").alias("slot")), "slot", going.count())
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given")
+    marked = docs.select(given, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text")).withColumn("_slot", F.xxhash64("_id"))
+    marked = marked.withColumn("_seen", doubtful.column("_slot") & F.col("_id").isNotNull())
+    unique = marked.where("not _seen").select("given")
+    checked = marked.where("_seen").join(going, ["_id", "_text"], "left_anti").dropDuplicates(["_id", "_text"]).select("given")
+    return unique.unionByName(checked).select("given.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 100-byte strings that start earlier too; n_chars follows the text."""
+    """Documents without the bytes of 100-byte strings that start earlier too; n_chars, where there is one, follows the text.
+
+    A null text becomes empty; a null id comes first in the order; repeated
+    rows get the same text; an empty table stays empty; other columns pass.
+    """
     found = suffix_dedup.remove_repeats(docs, carry=tuple(docs.columns))
-    kept = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
-    return found.select(*[kept.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
+    kept = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        kept["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[kept.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of at most 2048."""
+    """The documents' tokens in sequences of at most 2048; a null text has its end token only."""
     return packing.pack(packing.token_pieces(docs, public_tokenizer("byte_bpe_50k.json")))
 
 
