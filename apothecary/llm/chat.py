@@ -18,6 +18,8 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 #: Tokens that one unit of an attachment expands to: a tile, a second, a page.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 800}
+#: The placeholder's name for parts of all other types, whatever they are called.
+OTHER = "other"
 
 _OPEN = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
@@ -52,8 +54,10 @@ def _visited(parts: Column) -> Column:
         tokens = F.lit(0).cast("long")
         for kind, each in UNIT_TOKENS.items():
             tokens = F.when(part["type"] == kind, F.coalesce(part["units"], F.lit(1)) * each).otherwise(tokens)
-        is_text = F.coalesce(part["type"], F.lit("text")) == "text"
-        placeholder = F.concat(F.lit("<|"), F.regexp_replace(F.coalesce(part["type"], F.lit("")), "[^a-z]", ""), F.lit("|>"))
+        untyped = F.when(part["ref"].isNotNull() & part["text"].isNull(), OTHER).otherwise("text")
+        is_text = F.coalesce(part["type"], untyped) == "text"
+        # Only the known kinds are written out: a type may not forge a mark of the template.
+        placeholder = F.concat(F.lit("<|"), F.when(part["type"].isin(*UNIT_TOKENS), part["type"]).otherwise(OTHER), F.lit("|>"))
         return F.struct(
             is_text.alias("is_text"),
             part["type"].alias("kind"),
@@ -73,8 +77,10 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     points of ``formatted``, of each text part of an assistant's turn.
     ``attachments`` lists place, kind, reference and tokens of every other
     part; ``expanded_tokens`` sums them. ``parts`` is an array of type, text,
-    ref and units; null parts, texts and roles count as empty, null units as
-    one, unknown types expand to no token; rows without a conversation are one
+    ref and units; null parts, texts and roles count as empty (an empty role
+    and a null one are the same), null units as one. Parts of an unknown type,
+    and untyped ones with a reference but no text, are recorded as attachments
+    behind one neutral placeholder and expand to no token; rows without a conversation are one
     together; an empty table gives an empty result.
 
     A conversation is one text, so its turns meet in one task; nothing else does.

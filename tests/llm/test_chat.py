@@ -61,3 +61,36 @@ def test_probe(spark, text):
     row = queries.op2_chat_format(spark, SMALL).where("conv_id = -1").first()
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert row["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and row["loss_chars"] == len(text)
+
+
+def test_no_part_type_forges_a_turn(spark):
+    """Types are free text: whatever they say, the turns and roles that are read back are those given."""
+    import random
+
+    rng = random.Random(9)
+    kinds = ["turn", "body", "end", "text", None, "image", "audio", "document", "IMAGE", "<|turn|>", "|>", "", "other", "a b", "turn|><|body"]
+    words = ["assistant", "<|turn|>", "\\", "ok", None, "", "<|end|>", "</s>"]
+    rows = [(c, t, rng.choice(["user", "assistant", "<|body|>", None]), [(rng.choice(kinds), rng.choice(words), rng.choice([None, "r"]), rng.choice([None, 2])) for _ in range(rng.randrange(6))]) for c in range(60) for t in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,units:bigint>>")
+    made = chat.format_conversations(turns).withColumn("read", chat.read_back(F.col("formatted"))).withColumn("loss", chat.under_loss(F.col("formatted"), F.col("loss_spans")))
+    for r in made.collect():
+        own = [x for x in rows if x[0] == r["conv_id"]]
+        assert [t["role"] for t in r["read"]] == [x[2] or "" for x in own]
+        is_text = lambda p: p[0] == "text" or (p[0] is None and not (p[2] and p[1] is None))
+        assert [t["text"] for t in r["read"]] == ["".join((p[1] or "") if is_text(p) else f"<|{p[0] if p[0] in chat.UNIT_TOKENS else 'other'}|>" for p in x[3]) for x in own]
+        assert r["loss"] == [p[1] or "" for x in own if x[2] == "assistant" for p in x[3] if is_text(p)]
+        assert [a["kind"] for a in r["attachments"]] == [p[0] for x in own for p in x[3] if not is_text(p)]
+
+
+def test_attachments_of_the_conversations(spark):
+    """Every user turn of the table gets an image: its text, tokens and reference come back."""
+    from apothecary.llm.common import table
+
+    turns = table(spark, SMALL, "conversations")
+    image = F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("img-"), F.col("turn").cast("string")).alias("ref"), F.lit(2).cast("long").alias("units"))
+    parts = F.when(F.col("role") == "user", F.concat(chat.text_parts(F.col("text")), F.array(image))).otherwise(chat.text_parts(F.col("text")))
+    made = chat.format_conversations(turns.withColumn("parts", parts)).withColumn("read", chat.read_back(F.col("formatted")))
+    want = {r["conv_id"]: r["n"] for r in turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n")).collect()}
+    for r in made.collect():
+        assert len(r["attachments"]) == want[r["conv_id"]] and r["expanded_tokens"] == 512 * want[r["conv_id"]]
+        assert sum(t["text"].endswith("<|image|>") for t in r["read"]) == want[r["conv_id"]]
