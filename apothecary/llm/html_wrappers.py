@@ -10,8 +10,11 @@ third of all pages sends a few partial wrappers only, which are aligned with
 each other in turn. Every slot carries the number of different pages that
 hold it; exact copies, and pages that differ in their menus only, are one.
 
-A page is then read with its host's wrapper: what lies in the wrapper's main
-part counts, template text outside an article does not.
+The wrapper also knows which texts of its slots are fixed (the same text in
+the same slot on most of the host's different pages, inside an article too)
+and which slots hold links rather than text. A page is then read with its
+host's wrapper: what lies in the wrapper's main part counts, fixed text and
+slots of links do not.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apothecary.llm.common import chosen, stored
+from apothecary.llm.common import chosen, shuffle_partitions, slices, stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -48,7 +53,6 @@ _SIDE_NAMES = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_SALTS = 64
 _DEEPEST = 150  # of an element nested deeper, the tree and the paths hold its nearest ancestors' kind only
 _LONGEST = 64  # siblings after folding; of longer rows each tag is one repeated group
 Node = list  # [tag, many, children] for an element, ["#", many, text hash or None, pages] for a slot; many: "1", "?", "+" or "*"
@@ -64,9 +68,11 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
+def blocks(page: str, links: list[int] | None = None, title: list[str] | None = None) -> tuple[list[Node], list[tuple[str, str]]]:
     """A page's tree of block elements, and its text blocks in order, each with the path of its slot.
 
+    ``links`` takes how many letters of each block lie inside links, ``title`` the page's title.
+
     Inline tags belong to the text around them; a line break is white space.
     Unclosed paragraphs, items and cells end where the next begins. All open
     elements are kept; those below the depth of the tree hang, each as one
@@ -74,8 +80,13 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
     """
     root: list = ["", "1", []]
     stack, names, opened, texts, run, at = [root], [""], Counter(), [], [], 0
+    linking, linked = False, 0
 
     def end_text() -> None:
+        nonlocal linked
+        if links is not None and (own := "".join(run).strip()):
+            links.append(min(linked, len(own)))
+        linked = 0
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
@@ -89,13 +100,18 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[str, str]]]:
     for match in _TOKEN.finditer(page):
         if match.start() > at:
             run.append(page[at : match.start()])
+            linked += (match.start() - at) * linking
         at = match.end()
         raw, close, name = match.group(1), match.group(2), (match.group(3) or "").lower()
         if raw or not name:
             if raw:
                 run.append(" ")
+                if title is not None and raw.lower() == "title":
+                    title.append(match.group(0))
             continue
         if name in _INLINE:
+            if name == "a":
+                linking = not close
             continue
         if name in _VOID:
             if name == "hr":
@@ -251,31 +267,31 @@ def _kind(path: list[str]) -> str:
     return "aside" if _aside(path) else "main" if _within(path) else "div"
 
 
-def main_slots(wrapper: list[Node], bodies: int) -> tuple[set[str], set[str], set[tuple[str, int]]]:
-    """Paths of a wrapper's slots that hold main text, inside an article and outside one, and the template text outside.
-
-    Template text is a slot that never differs, in three different pages or
-    more and in most of the host's ``bodies`` different pages. Only this text
-    is named by path and hash: other text at the same path is main text.
-    """
-    within, outside, template = set(), set(), set()
-    for path, constant, pages in _slots(wrapper):
+def main_slots(wrapper: list[Node]) -> tuple[set[str], set[str]]:
+    """Paths of a wrapper's slots that may hold main text, inside an article and outside one."""
+    within, outside = set(), set()
+    for path, _, _ in _slots(wrapper):
         parts = path.split("/") if path else []
-        if _aside(parts):
-            continue
-        if _within(parts):
-            within.add(path)
-        else:
-            outside.add(path)
-            if constant is not None and pages >= 3 and 2 * pages > bodies:
-                template.add((path, constant))
-    return within, outside, template
+        if not _aside(parts):
+            (within if _within(parts) else outside).add(path)
+    return within, outside
+
+
+def _slot(path: str, text: str = "") -> int:
+    """A name for a slot, or for one of its texts."""
+    return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "replace")) - 2**63
 
 
-def page_text(texts: list[tuple[str, str]], within: set[str], outside: set[str], template: set[tuple[str, int]]) -> str:
-    """Blocks of the main part: those inside the article if the page has one, the rest otherwise."""
-    article = [t for path, t in texts if path in within]
-    return "\n\n".join(article or [t for path, t in texts if path in outside and (path, _hash(t)) not in template])
+def page_text(texts: list[tuple[str, str]], within: set[str], outside: set[str], left_out: set[int]) -> str:
+    """Blocks of the main part: those inside the article if the page has one, the rest otherwise.
+
+    ``left_out`` names texts that are fixed in the host's wrapper, and slots of
+    links, which count outside an article only.
+    """
+    own = [(path, text) for path, text in texts if path in within or path in outside]
+    own = [(path, text) for path, text in own if _slot(path, text) not in left_out]
+    article = [text for path, text in own if path in within]
+    return "\n\n".join(article or [text for path, text in own if path in outside and _slot(path) not in left_out])
 
 
 def _body(texts: list[tuple[str, str]]) -> int:
@@ -284,6 +300,43 @@ def _body(texts: list[tuple[str, str]]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join(main).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def slot_texts(pages: DataFrame, least_pages: int = 3) -> DataFrame:
+    """Of each host (by its hash ``host_key``) the array ``left_out``: its fixed texts and its slots of links.
+
+    A text is fixed if it stands in one slot on ``least_pages`` different pages
+    and more, and on most of the host's different pages. Pages of one title
+    and headline are versions of one page here, so what versions share stays;
+    pages without either go by their text. A slot holds links if most of its
+    letters, over all pages of the host, lie inside links.
+    """
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in slices(batch, "html")):
+            rows: dict[tuple[int, int, int], list[int]] = {}
+            for host, page in zip(part.column("host_key").to_pylist(), part.column("html").to_pylist(), strict=True):
+                links: list[int] = []
+                title: list[str] = []
+                _, texts = blocks(page or "", links, title)
+                headline = [t for path, t in texts if path.rsplit("/", 1)[-1].split(".")[0] == "h1"][:1]
+                key = _slot("\n".join(title), "".join(headline)) if title or headline else _body(texts)
+                rows.setdefault((host, 0, key), [0, 0])
+                for (path, text), n in zip(texts, links, strict=True):
+                    rows.setdefault((host, _slot(path, text), key), [0, 0])
+                    sums = rows.setdefault((host, _slot(path), 0), [0, 0])
+                    sums[0] += len(text)
+                    sums[1] += n
+            columns = np.array([(*k, *v) for k, v in rows.items()], dtype=np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.T], names=["host_key", "slot", "page", "letters", "linked"])
+
+    rows = pages.select("host_key", "html").mapInArrow(seen, "host_key long, slot long, page long, letters long, linked long")
+    rows = rows.groupBy("host_key", "slot", "page").agg(F.sum("letters").alias("letters"), F.sum("linked").alias("linked"))
+    counts = stored(rows.groupBy("host_key", "slot").agg(F.count("*").alias("pages"), F.sum("letters").alias("letters"), F.sum("linked").alias("linked")).where((F.col("pages") >= least_pages) | (F.col("linked") > 0) | (F.col("slot") == 0)))
+    bodies = counts.where("slot = 0").select("host_key", F.col("pages").alias("bodies"))
+    fixed = counts.where((F.col("slot") != 0) & (F.col("pages") >= least_pages)).join(bodies, "host_key").where(F.col("pages") * 2 > F.col("bodies")).select("host_key", "slot")
+    links = counts.where((F.col("linked") * 2 > F.col("letters")) & (F.col("slot") != 0)).select("host_key", "slot")
+    return fixed.union(links).groupBy("host_key").agg(F.collect_set("slot").alias("left_out"))
+
+
 def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> DataFrame:
     """One row a host: host, wrapper (as JSON), pages (rows) and bodies (different pages)."""
 
@@ -356,29 +409,34 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Blocks are joined by an empty line, white space inside a block is one
     space, character references are decoded. Null or empty HTML gives an
     empty text; pages without a host (null or odd urls) share a wrapper;
-    repeated rows stay; an empty table gives an empty result.
+    repeated rows stay; an empty table gives an empty result. No text is
+    capped: elements nested over 150 deep and rows of over 64 siblings only
+    make the wrapper coarser (their order in it is not kept), and hosts with
+    any number of different pages are folded in parts.
     """
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")), F.lit("-"))
-    pages = chosen(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host)
-    wrappers = stored(infer_wrappers(pages))
+    pages = chosen(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host).withColumn("host_key", F.xxhash64("host"))
+    wrappers = infer_wrappers(pages).withColumn("host_key", F.xxhash64("host"))
+    wrappers = stored(wrappers.join(slot_texts(pages), "host_key", "left").select("host", "wrapper", "pages", "left_out"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            out = []
-            for page, host, wrapper, n in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "wrapper", "bodies")), strict=True):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = main_slots(json.loads(wrapper), n)
-                out.append(page_text(blocks(page or "")[1], *known[host]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    # A host with a thousandth of all pages or more, of which there are a thousand at most, is dealt to many tasks.
-    total = wrappers.agg(F.sum("pages")).first()[0] or 0
-    frequent = F.col("host").isin([r["host"] for r in wrappers.where(F.col("pages") * 1000 >= total).select("host").collect()])
+            for part in slices(batch, "html"):
+                out = []
+                for page, host, wrapper, left_out in zip(*(part.column(c).to_pylist() for c in ("html", "host", "wrapper", "left_out")), strict=True):
+                    if host not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[host] = *main_slots(json.loads(wrapper)), set(left_out or ())
+                    out.append(page_text(blocks(page or "")[1], *known[host]))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    # Hosts with more pages than a quarter of a task's share, of which there are four a shuffle partition at most, are dealt to several tasks.
+    share = (wrappers.agg(F.sum("pages")).first()[0] or 0) / (4 * shuffle_partitions(pages.sparkSession))
+    frequent = wrappers.where(F.col("pages") > share).select("host", F.ceil(F.col("pages") / max(1, share)).cast("int").alias("salts"))
     # The stored table is compressed and not yet salted, so its size must not choose a broadcast.
-    salted = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(frequent, _SALTS - 1).otherwise(0))))
-    pages = pages.withColumn("salt", F.when(frequent, F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int")).otherwise(0))
-    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(salted.hint("merge"), ["host", "salt"]).select("page_id", "url", "html", "host", "wrapper", "bodies")
+    salted = wrappers.join(F.broadcast(frequent), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts", "pages")
+    pages = pages.join(F.broadcast(frequent), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
+    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(salted.hint("merge"), ["host", "salt"]).select("page_id", "url", "html", "host", "wrapper", "left_out")
     return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")

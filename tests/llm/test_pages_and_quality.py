@@ -72,6 +72,26 @@ def test_counts_of_slots_are_counts_of_different_pages(spark):
     assert (row["pages"], row["bodies"]) == (60, 7) and json.loads(row["wrapper"])[0] == ["p", "1", [["#", "1", zlib.crc32(b"Same"), 7]]]
 
 
+def test_fixed_text_inside_an_article_goes_by_the_wrapper(spark):
+    """One page alone keeps its byline; beside seven others of its host the same page loses it."""
+    page = "<body><article><h1>Story {n}</h1><p>Published by the team</p><p>Text {n}</p><div>Share this story with friends</div></article></body>"
+    got = text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(8)] + [(100, "http://lone/", page.format(n=0))])
+    assert got[0] == "Story 0\n\nText 0"
+    assert got[100] == "Story 0\n\nPublished by the team\n\nText 0\n\nShare this story with friends"
+
+
+def test_menus_without_any_mark_are_slots_of_links(spark):
+    page = "<body><div><ul><li><a href=/>Home {n}</a></li><li><a href=/n>News {n}</a></li></ul></div><section><h1>Story {n}</h1><p>One {n} <a href=/x>link</a> and a good deal of other words</p></section></body>"
+    got = text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(8)])
+    assert got[3] == "Story 3\n\nOne 3 link and a good deal of other words"
+
+
+def test_versions_of_one_page_keep_what_they_share(spark):
+    page = "<body><article><h1>Same headline</h1><h2>Part</h2><p>Paragraph of version {n}</p></article></body>"
+    got = text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(8)])
+    assert got[5] == "Same headline\n\nPart\n\nParagraph of version 5"
+
+
 def test_deeply_nested_pages_keep_all_text(spark):
     deep, end = "<div>" * 400, "</div>" * 400
     got = text_of(
