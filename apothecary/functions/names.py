@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 #: Citation prefix of each source family: fixed values.
 PREFIXES = {"dailymed": "FDA", "faers": "FAERS", "pubmed": "PUB", "drugbank": "DB", "rxnorm": "RXN"}
 #: Spellings of the source families, without separators: fixed values.
-SOURCE_ALIASES = {"dailymed": "dailymed", "fda": "dailymed", "fdalabel": "dailymed", "faers": "faers", "pubmed": "pubmed", "pmc": "pubmed", "pmid": "pubmed", "drugbank": "drugbank", "rxnorm": "rxnorm"}
+SOURCE_ALIASES = {"dailymed": "dailymed", "fda": "dailymed", "label": "dailymed", "fdalabel": "dailymed", "faers": "faers", "pubmed": "pubmed", "pmc": "pubmed", "pmid": "pubmed", "drugbank": "drugbank", "rxnorm": "rxnorm"}
+#: Strengths and dose forms that are no part of a name: a fixed value.
+DOSE_WORDS = r"\b(\d+\s*(?:mg|mcg|g|ml|%|units?|iu|meq|mmol)|oral|tablet|capsule|injection|solution|extended.release|er|xr|sr|cr|dr|hcl|hydrochloride|sodium|potassium|film.coated|delayed.release|modified.release)\b"
+#: From a strength, or a word of frequency, to the end of a name: fixed values.
+STRENGTH_TAIL = r"\d+\.?\d*\s*(mg|mcg|g|ml|units?|iu|%)\b.*$"
+FREQUENCY_TAIL = r"\s+(daily|twice|tid|qid|bid|once|weekly|prn|as needed).*$"
+#: Generic names of brands: fixed values.
+GENERIC_NAMES = {
+    "tylenol": "acetaminophen", "advil": "ibuprofen", "motrin": "ibuprofen", "aleve": "naproxen", "coumadin": "warfarin", "zocor": "simvastatin", "lipitor": "atorvastatin", "prozac": "fluoxetine",
+    "zoloft": "sertraline", "paxil": "paroxetine", "xanax": "alprazolam", "valium": "diazepam", "lasix": "furosemide", "glucophage": "metformin", "glucophage xr": "metformin", "crestor": "rosuvastatin",
+    "norvasc": "amlodipine", "zithromax": "azithromycin", "biaxin": "clarithromycin", "cipro": "ciprofloxacin", "augmentin": "amoxicillin-clavulanate", "bactrim": "trimethoprim-sulfamethoxazole",
+    "prinivil": "lisinopril", "zestril": "lisinopril", "toprol": "metoprolol", "lopressor": "metoprolol",
+}
 
 
 def drug_name(name: Column) -> Column:
@@ -17,13 +29,20 @@ def drug_name(name: Column) -> Column:
 
 def without_dose(name: Column) -> Column:
     """Lower-case name without brackets, strengths and dose forms; the name itself if under two letters are left."""
-    bare = F.regexp_replace(F.lower(name), r"\([^)]*\)", " ")
-    bare = F.regexp_replace(bare, r"\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|iu|units?|%)(?:/\w+)?\b", " ")
-    bare = F.regexp_replace(bare, r"\b(?:tablets?|capsules?|injection|solution|oral|extended|release|er|xr|sr|cream|patch)\b", " ")
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    bare = F.regexp_replace(F.trim(name), r"\(.*?\)", "")
+    bare = F.regexp_replace(bare, "(?i)" + DOSE_WORDS, " ")
+    bare = F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
     return F.when(F.length(bare) < 2, F.lower(F.trim(name))).otherwise(bare)
 
 
+def generic_name(name: Column) -> Column:
+    """Lower-case name up to its strength or frequency, brands as their generic names."""
+    bare = F.trim(F.regexp_replace(F.lower(name), STRENGTH_TAIL, ""))
+    bare = F.trim(F.regexp_replace(bare, FREQUENCY_TAIL, ""))
+    table = F.create_map(*[F.lit(x) for item in GENERIC_NAMES.items() for x in item])
+    return F.coalesce(F.element_at(table, bare), bare)
+
+
 def source_family(source: Column) -> Column:
     key = F.regexp_replace(F.lower(F.coalesce(source, F.lit(""))), r"[^a-z0-9]", "")
     table = F.create_map(*[F.lit(x) for item in SOURCE_ALIASES.items() for x in item])
@@ -37,18 +56,24 @@ def citation_prefix(source: Column) -> Column:
 
 def document_url(source: Column, doc_id: Column, existing: Column) -> Column:
     """The URL at hand, else one made from the source's document id; empty if neither."""
-    family, bare = source_family(source), F.trim(doc_id)
-    number = F.regexp_extract(bare, r"(\d{4,9})", 1)
+    family, bare = source_family(source), F.trim(F.coalesce(doc_id, F.lit("")))
+    number = F.regexp_extract(bare, r"(?i)\b(?:pmid[:\s]*)?(\d{6,9})\b", 1)
+    pubmed = F.when(number != "", number).when(bare.rlike(r"^\d+$"), bare)
     return (
-        F.when(F.trim(F.coalesce(existing, F.lit(""))) != "", existing)
-        .when((family == "pubmed") & (number != ""), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), number, F.lit("/")))
-        .when((family == "drugbank") & bare.rlike(r"^DB\d+$"), F.concat(F.lit("https://go.drugbank.com/drugs/"), bare))
+        F.when(F.coalesce(existing, F.lit("")) != "", existing)
+        .when((family == "pubmed") & pubmed.isNotNull(), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pubmed, F.lit("/")))
+        .when((family == "drugbank") & F.upper(bare).startswith("DB"), F.concat(F.lit("https://go.drugbank.com/drugs/"), bare))
         .when((family == "dailymed") & (bare != ""), F.concat(F.lit("https://dailymed.nlm.nih.gov/dailymed/drugInfo.cfm?setid="), bare))
         .otherwise("")
     )
 
 
-def citation_identity(source: Column, doc_id: Column, section: Column, chunk_id: Column) -> Column:
-    """The same for two chunks of one section of one document; chunks without a document stand alone."""
+def citation_identity(source: Column, doc_id: Column, section: Column, chunk_id: Column, text: Column | None = None) -> Column:
+    """The same for two chunks of one section of one document; chunks without a document go by their id, or by their text."""
     part = lambda c: F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
-    return F.when(part(doc_id) != "", F.concat_ws("|", source_family(source), part(doc_id), part(section))).otherwise(F.concat_ws("|", source_family(source), F.lit("chunk"), part(chunk_id)))
+    digest = F.left(F.sha1(F.coalesce(F.lit("") if text is None else text, F.lit("")).cast("binary")), F.lit(16))
+    return (
+        F.when(part(doc_id) != "", F.concat_ws("|", source_family(source), part(doc_id), part(section)))
+        .when(part(chunk_id) != "", F.concat_ws("|", source_family(source), F.lit("chunk"), part(chunk_id)))
+        .otherwise(F.concat_ws("|", source_family(source), F.lit("text"), digest))
+    )

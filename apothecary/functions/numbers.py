@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 #: Words that stand for a share of protein binding, tried in this order: fixed values.
 BINDING_WORDS = (("high", 90.0), ("extensively", 90.0), ("moderate", 65.0), ("low", 20.0), ("negligible", 5.0), ("minimal", 5.0))
-#: Hours in each unit of a half-life, tried in this order, a range before a single figure: fixed values.
-HALF_LIFE_UNITS = (("hours?|hrs?", 1.0), ("days?", 24.0), ("min(?:ute)?s?", 1 / 60), ("weeks?", 168.0))
-_NUMBER, _TO = r"(\d+(?:\.\d+)?)", r"\s*(?:-|–|to)\s*"
+_NUMBER = r"(\d+(?:\.\d+)?)"
+#: Patterns of a half-life, tried in this order, and hours in a unit: fixed values. Two groups are the ends of a range.
+HALF_LIFE_PATTERNS = (
+    (rf"{_NUMBER}\s*-\s*{_NUMBER}\s*hour", 1.0),
+    (rf"{_NUMBER}\s*hour", 1.0),
+    (rf"{_NUMBER}\s*-\s*{_NUMBER}\s*day", 24.0),
+    (rf"{_NUMBER}\s*day", 24.0),
+    (rf"{_NUMBER}\s*-\s*{_NUMBER}\s*min", 1 / 60),
+    (rf"{_NUMBER}\s*min", 1 / 60),
+    (rf"{_NUMBER}\s*week", 168.0),
+)
+#: A share or a range of shares in percent: a fixed value.
+BINDING_PATTERN = rf"{_NUMBER}\s*(?:to|-)\s*{_NUMBER}?\s*%|{_NUMBER}\s*%"
 
 
 def _figure(text: Column, pattern: str, group: int) -> Column:
@@ -17,20 +27,25 @@ def _figure(text: Column, pattern: str, group: int) -> Column:
 
 
 def half_life_hours(text: Column) -> Column:
-    """Hours of a described half-life: the first unit found, in the order of ``HALF_LIFE_UNITS``, a range's middle before a single figure."""
+    """Hours of a described half-life by the first pattern found, a range's middle, to two places.
+
+    Only a hyphen makes a range: of "2 to 4 hours" the 4 counts.
+    """
     low, cases = F.lower(text), []
-    for unit, hours in HALF_LIFE_UNITS:
-        ranged, single = rf"{_NUMBER}{_TO}{_NUMBER}\s*(?:{unit})\b", rf"{_NUMBER}\s*(?:{unit})\b"
-        cases += [(_figure(low, ranged, 1) + _figure(low, ranged, 2)) / 2 * hours, _figure(low, single, 1) * hours]
-    return F.coalesce(*cases)
+    for pattern, hours in HALF_LIFE_PATTERNS:
+        figure = _figure(low, pattern, 1)
+        if pattern.count(_NUMBER) == 2:
+            figure = (figure + _figure(low, pattern, 2)) / 2
+        cases.append(figure * hours if hours >= 1 else figure / 60)
+    return F.round(F.coalesce(*cases), 2)
 
 
 def protein_binding(text: Column) -> Column:
-    """Percent bound: a qualitative word first, else the middle of a range, else a single figure."""
+    """Percent bound: a qualitative word first, even inside another word, else the middle of a range, else a single figure."""
     low = F.lower(text)
-    ranged, single = rf"{_NUMBER}{_TO}{_NUMBER}\s*%", rf"{_NUMBER}\s*%"
     word = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(v)) for w, v in BINDING_WORDS])
-    return F.coalesce(word, (_figure(low, ranged, 1) + _figure(low, ranged, 2)) / 2, _figure(low, single, 1))
+    first, second, single = (_figure(low, BINDING_PATTERN, k) for k in (1, 2, 3))
+    return F.coalesce(word, (first + second) / 2, single, first)
 
 
 def gap(a: Column, b: Column) -> Column:

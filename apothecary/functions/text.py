@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Abbreviations whose full stop ends no sentence: fixed values.
-ABBREVIATIONS = ("Dr", "Mr", "Ms", "Mrs", "vs", "etc", "mg", "mcg", "Fig", "approx")
+ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Prof", "mg", "mcg", "vs", "approx", "e.g", "i.e", "U.S")
+ABBREVIATION_PATTERN = r"\b(" + "|".join(ABBREVIATIONS).replace(".", r"\.") + r")\."
 #: Sections that are read first: fixed values.
 PRIORITY_SECTIONS = ("boxed_warning", "warnings_and_precautions", "drug_interactions", "contraindications", "adverse_reactions", "interaction", "cyp450")
 
@@ -19,7 +20,7 @@ def clean(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Array of sentences: cut after ``.``, ``!`` or ``?`` where white space and a capital follow."""
-    guarded = F.regexp_replace(text, r"\b(" + "|".join(ABBREVIATIONS) + r")\.", "$1\u0001")
+    guarded = F.regexp_replace(text, ABBREVIATION_PATTERN, "$1\u0001")
     cut = F.split(F.regexp_replace(guarded, r"([.!?])\s+([A-Z])", "$1\u0002$2"), "\u0002")
     return F.filter(F.transform(cut, lambda s: F.trim(F.translate(s, "\u0001", "."))), lambda s: s != "")
 
@@ -31,26 +32,31 @@ def chunks(text: Column, target: int = 1000, ceiling: int = 1400, floor: int = 8
     has reached ``target``. Lengths count letters without the joining spaces.
     Texts up to the ceiling stay whole; chunks under ``floor`` go.
     """
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size"))
-
-    def add(state: Column, sentence: Column) -> Column:
-        full = (F.size(state["open"]) > 0) & ((state["size"] + F.length(sentence) > ceiling) | (state["size"] >= target))
-        last = F.slice(state["open"], -1, 1)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(state["done"], F.array(F.array_join(state["open"], " "))).alias("done"),
-                F.concat(last, F.array(sentence)).alias("open"),
-                (F.length(F.array_join(last, "")) + F.length(sentence)).alias("size"),
-            ),
-        ).otherwise(F.struct(state["done"].alias("done"), F.concat(state["open"], F.array(sentence)).alias("open"), (state["size"] + F.length(sentence)).alias("size")))
-
-    def close(state: Column) -> Column:
-        rest = F.when(F.size(state["open"]) > 0, F.array(F.array_join(state["open"], " "))).otherwise(F.array().cast("array<string>"))
-        return F.concat(state["done"], rest)
-
-    packed = F.aggregate(sentences(text), empty, add, close)
-    whole = F.when(F.length(text) <= ceiling, F.array(text)).otherwise(packed)
+    def packed(found: Column) -> Column:
+        """Spans of sentences (first, number): places only, so that no text is copied on the way."""
+        spans = F.array().cast("array<struct<a:int,n:int>>")
+        start = F.struct(spans.alias("done"), F.lit(0).alias("a"), F.lit(0).alias("i"), F.lit(0).alias("size"))
+
+        def add(state: Column, sentence: Column) -> Column:
+            here, now = state["i"], F.length(sentence)
+            full = (here > state["a"]) & ((state["size"] + now > ceiling) | (state["size"] >= target))
+            closed = F.concat(state["done"], F.array(F.struct(state["a"].alias("a"), (here - state["a"]).alias("n"))))
+            return F.struct(
+                F.when(full, closed).otherwise(state["done"]).alias("done"),
+                F.when(full, here - 1).otherwise(state["a"]).alias("a"),
+                (here + 1).alias("i"),
+                F.when(full, F.length(F.get(found, here - 1)) + now).otherwise(state["size"] + now).alias("size"),
+            )
+
+        def close(state: Column) -> Column:
+            rest = F.array(F.struct(state["a"].alias("a"), (state["i"] - state["a"]).alias("n")))
+            return F.when(state["i"] > 0, F.concat(state["done"], rest)).otherwise(state["done"])
+
+        return F.transform(F.aggregate(found, start, add, close), lambda p: F.array_join(F.slice(found, p["a"] + 1, p["n"]), " "))
+
+    # The sentences are bound once, as the only element of an array.
+    split = F.get(F.transform(F.array(sentences(text)), packed), F.lit(0))
+    whole = F.when(F.length(text) <= ceiling, F.array(text)).otherwise(split)
     return F.filter(whole, lambda c: F.length(c) >= floor)
 
 

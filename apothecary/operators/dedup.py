@@ -10,10 +10,10 @@ from apothecary.functions.text import content_hash
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
-    """The first row of each key by ``order``, through one aggregation: a frequent key is combined before the shuffle."""
+    """The first row of each key by ``order``, nulls last, through one aggregation: a frequent key is combined before the shuffle."""
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[(F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(keys, names, strict=True)])
-    rank = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    rank = F.struct(*[c for i, o in enumerate(order) for c in (o.isNull().alias(f"_n{i}"), o.alias(f"_o{i}"))])
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return keyed.groupBy(*names).agg(F.min_by(row, rank).alias("row")).select("row.*")
 

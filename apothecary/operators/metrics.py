@@ -29,9 +29,20 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """Column ``split`` with train, val or test in the given shares of each class, by hash order."""
-    place = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn("split", F.when(place < train, "train").when(place < train + val, "val").otherwise("test"))
+    """Column ``split`` with train, val or test in the given shares of each class, by the order of an MD5 hash.
+
+    A row's place in its class is its place among the rows of one of 4096
+    slices of the hash plus the number of rows in the slices before: no class
+    is sorted in one task.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).withColumn("_slice", F.left("_hash", F.lit(3)))
+    counts = hashed.groupBy(label, "_slice").agg(F.count("*").alias("_n"))
+    by_label = Window.partitionBy(label)
+    before = counts.select(F.col(label).alias("_label"), "_slice", (F.sum("_n").over(by_label.orderBy("_slice")) - F.col("_n")).alias("_before"), F.sum("_n").over(by_label).alias("_total"))
+    ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy(label, "_slice").orderBy("_hash", key)))
+    placed = ranked.join(before.withColumnRenamed("_slice", "_of"), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_slice") == F.col("_of")))
+    place = (F.col("_before") + F.col("_rank") - 1) / F.greatest(F.lit(1), F.col("_total") - 1)
+    return placed.withColumn("split", F.when(place < train, "train").when(place < train + val, "val").otherwise("test")).select(*df.columns, "split")
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

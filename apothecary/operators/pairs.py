@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from apothecary.functions.numbers import pair_key
 
 
+def in_list(lists: DataFrame) -> DataFrame:
+    """Every pair of a sorted array ``_list``, smaller first, with the other columns: made in the row, without a self join."""
+    rest = [c for c in lists.columns if c != "_list"]
+    firsts = lists.select(*rest, "_list", F.posexplode("_list").alias("_at", "drug_a"))
+    return firsts.select(*rest, "drug_a", F.explode(F.slice("_list", F.col("_at") + 2, F.greatest(F.lit(0), F.size("_list") - F.col("_at") - 1))).alias("drug_b"))
+
+
 def combinations(lists: DataFrame, owner: str, member: str) -> DataFrame:
     """Every unordered pair of each owner's distinct members, smaller first."""
-    distinct = lists.where(F.col(member).isNotNull()).select(owner, member).distinct()
-    a, b = distinct.withColumnRenamed(member, "drug_a"), distinct.withColumnRenamed(member, "drug_b")
-    return a.join(b, owner).where("drug_a < drug_b")
+    return in_list(lists.where(F.col(member).isNotNull()).groupBy(owner).agg(F.array_sort(F.collect_set(member)).alias("_list")))
 
 
 def sweep(new: DataFrame, known: DataFrame, owner: str, member: str) -> DataFrame:
@@ -24,7 +29,10 @@ def sweep(new: DataFrame, known: DataFrame, owner: str, member: str) -> DataFram
 
 
 def lookup(pairs: DataFrame, table: DataFrame, a: str, b: str, columns: list[str], table_a: str = "drug_a", table_b: str = "drug_b") -> DataFrame:
-    """``pairs`` with the table's columns by unordered pair, whatever the case; nulls where unknown."""
+    """``pairs`` with the table's columns by unordered pair, whatever the case; nulls where unknown.
+
+    Of several rows of a pair the least counts, by the columns in order: one whole row, never a mix.
+    """
     keyed = table.select(pair_key(F.col(table_a), F.col(table_b)).alias("_key"), *columns)
-    keyed = keyed.where("_key is not null").groupBy("_key").agg(*[F.min(c).alias(c) for c in columns])
+    keyed = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct(*columns)).alias("_row")).select("_key", "_row.*")
     return pairs.withColumn("_key", pair_key(F.col(a), F.col(b))).join(keyed, "_key", "left").drop("_key")

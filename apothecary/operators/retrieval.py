@@ -42,14 +42,17 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = 1.5
     repeated query word counts each time. Only postings of query words meet.
     """
     terms = docs.select("chunk_id", words(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    postings = terms.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     totals = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("mean_dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = terms.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(totals)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.join(F.broadcast(mean)).select("term", "mean_dl", F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(idf, "term").join(postings, "term")
+    # Only occurrences of words that some query asks for are counted and shuffled.
+    wanted = asked.join(idf, "term").groupBy("term").agg(F.first("idf").alias("idf"), F.first("mean_dl").alias("mean_dl"), F.collect_list(F.struct("query_id", "times")).alias("asked"))
+    occurring = terms.select("chunk_id", "dl", F.explode("t").alias("term")).join(wanted.select("term"), "term", "left_semi")
+    postings = occurring.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = postings.join(wanted, "term").select("chunk_id", "dl", "tf", "idf", "mean_dl", F.inline("asked"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
     scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
     return top_k(scores, ["query_id"], [F.desc(F.round("score", 9)), F.col("chunk_id")], k)

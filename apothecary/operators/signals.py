@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apothecary.functions.rules import outcome_label, outcome_weight
+from apothecary.operators.pairs import in_list
 
 
 def with_outcome(outcomes: DataFrame, code: str = "code") -> DataFrame:
@@ -28,20 +29,12 @@ def drug_event_signal(drugs: DataFrame, events: DataFrame, worst: DataFrame) ->
 def pair_cooccurrence(drugs: DataFrame, outcomes: DataFrame, least: int = 5) -> DataFrame:
     """Unordered drug pairs on one report: reports, deaths, hospital stays and greatest severity.
 
-    Outcome rows fan out by design: deaths count outcome rows. Pairs are made
-    within a report only, after its drugs are made distinct.
+    Deaths count outcome rows, as if those fanned out: they are summed up by
+    report first. Pairs are made in the row of a report from its distinct drugs.
     """
-    distinct = drugs.where("report is not null and drug is not null").select("report", "drug").distinct()
-    a, b = distinct.withColumnRenamed("drug", "drug_a"), distinct.withColumnRenamed("drug", "drug_b")
-    pairs = a.join(b, "report").where("drug_a < drug_b")
-    rows = pairs.join(with_outcome(outcomes).select("report", "label", "weight"), "report", "left")
-    return (
-        rows.groupBy("drug_a", "drug_b")
-        .agg(
-            F.countDistinct("report").alias("report_count"),
-            F.count_if(F.col("label") == "death").alias("death_count"),
-            F.count_if(F.col("label") == "hospitalization").alias("hosp_count"),
-            F.max("weight").alias("max_severity"),
-        )
-        .where(F.col("report_count") >= least)
-    )
+    lists = drugs.where("report is not null and drug is not null").groupBy("report").agg(F.array_sort(F.collect_set("drug")).alias("_list"))
+    label = F.col("label")
+    effects = with_outcome(outcomes).groupBy("report").agg(F.count_if(label == "death").alias("deaths"), F.count_if(label == "hospitalization").alias("stays"), F.max("weight").alias("worst"))
+    rows = in_list(lists.where(F.size("_list") > 1).join(effects, "report", "left"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("deaths", "death_count"), ("stays", "hosp_count"))]
+    return rows.groupBy("drug_a", "drug_b").agg(F.count("*").alias("report_count"), *sums, F.max("worst").alias("max_severity")).where(F.col("report_count") >= least)

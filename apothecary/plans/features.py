@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apothecary.functions import numbers, rules
@@ -72,17 +72,33 @@ FROM s JOIN b a ON a.p_name = drug_a JOIN b b ON b.p_name = drug_b
 """
 
 
-def text_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-lives and binding shares out of sentences made from part sizes."""
-    size = F.col("p_size").cast("string")
-    life = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit(" to "), (F.col("p_size") + 4).cast("string"), F.lit(" hours"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("about "), size, F.lit(" days"))).otherwise(F.concat(size, F.lit(" weeks")))
-    bound = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("highly bound, "), size, F.lit("%"))).otherwise(F.concat(size, F.lit(" to "), (F.col("p_size") + 10).cast("string"), F.lit("%")))
-    return table(spark, sf_dir, "part").select("p_partkey", numbers.half_life_hours(life).alias("hours"), numbers.protein_binding(bound).alias("bound"), rules.severity_of_text(F.concat(F.col("p_type"), F.when(F.col("p_size") > 25, " Severe risk").otherwise(" minor risk"))).alias("severity"))
+#: Descriptions that tell the patterns apart: each part gets one of each.
+_LIVES = ("2 to 4 hours", "about 90 minutes", "1-2 days (24 hours)", "3 weeks", "unknown", "1.5 - 2.5 days", "10-20 min", "6 hrs", "2.345 hours", "7days")
+_BOUNDS = ("High (>90%)", "55 to 65%", "below 10%", "97%", "", "40-60 %", "slowly bound, 12%", "Moderate", "30 - %")
+
 
+def _given(texts: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
 
-_NUMBER_SQL = """
-SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size + 2.0 WHEN 1 THEN p_size * 24.0 ELSE p_size * 168.0 END::DOUBLE AS hours,
-  CASE p_partkey % 2 WHEN 0 THEN 90.0 ELSE p_size + 5.0 END::DOUBLE AS bound, CASE WHEN p_size > 25 THEN 3 ELSE 1 END AS severity FROM part
+
+def text_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-lives, binding shares and severities out of descriptions."""
+    said = F.concat(F.lit("Size "), F.col("p_size").cast("string"), F.lit(": "))
+    severity = rules.severity_of_text(F.concat(F.col("p_type"), F.when(F.col("p_size") > 25, " Severe risk").otherwise(" minor risk")))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.half_life_hours(F.concat(said, _given(_LIVES))).alias("hours"), numbers.protein_binding(_given(_BOUNDS)).alias("bound"), severity.alias("severity"))
+
+
+def _number_sql() -> str:
+    figure = lambda pattern, k: f"TRY_CAST(nullif(regexp_extract(lower(life), '{pattern}', {k}), '') AS DOUBLE)"
+    cases = []
+    for pattern, hours in numbers.HALF_LIFE_PATTERNS:
+        middle = f"(({figure(pattern, 1)} + {figure(pattern, 2)}) / 2)" if "-" in pattern else figure(pattern, 1)
+        cases.append(f"{middle} * {hours}" if hours >= 1 else f"{middle} / 60")
+    bound = lambda k: figure(numbers.BINDING_PATTERN, k).replace("lower(life)", "lower(bound)")
+    words = " ".join(f"WHEN contains(lower(bound), '{w}') THEN {v}" for w, v in numbers.BINDING_WORDS)
+    return f"""
+WITH p AS (SELECT p_partkey, p_size, 'Size ' || p_size || ': ' || ({list(_LIVES)!r})[p_partkey % {len(_LIVES)} + 1] AS life, ({list(_BOUNDS)!r})[p_partkey % {len(_BOUNDS)} + 1] AS bound FROM part)
+SELECT p_partkey, round(coalesce({", ".join(cases)}), 2) AS hours, CAST(coalesce(CASE {words} END, ({bound(1)} + {bound(2)}) / 2, {bound(3)}, {bound(1)}) AS DOUBLE) AS bound, CASE WHEN p_size > 25 THEN 3 ELSE 1 END AS severity FROM p
 """
 
 
@@ -117,10 +133,16 @@ _WEIGHTS_SQL = "WITH c AS (SELECT quality, count(*) AS n_rows FROM labels WHERE
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split of the labelled rows by class; the hash order has no SQL equivalent, so the shares are tested."""
+    """Split of the labelled rows by class, in the order of a hash."""
     return metrics.stratified_split(table(spark, sf_dir, "labels"), "quality", "doc_id").select("doc_id", "quality", "split")
 
 
+_SPLIT_SQL = """
+WITH r AS (SELECT doc_id, quality, percent_rank() OVER (PARTITION BY quality ORDER BY md5(doc_id || '-42'), doc_id) AS p FROM labels)
+SELECT doc_id, quality, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM r
+"""
+
+
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").select("quality", (1 - F.col("toxic")).alias("guess"))
     return metrics.class_scores(rows, "quality", "guess")
@@ -206,10 +228,11 @@ SQL = {
     "q43_role_mentions": _ROLE_SQL,
     "q44_pair_features": _pair_features_sql(),
     "q45_set_features": _set_features_sql(),
-    "q46_text_to_number": _NUMBER_SQL,
+    "q46_text_to_number": _number_sql(),
     "q47_impute_and_cap": _IMPUTE_SQL,
     "q48_standardise": _STANDARD_SQL,
     "q49_class_weights": _WEIGHTS_SQL,
+    "q50_stratified_split": _SPLIT_SQL,
     "q51_class_scores": _SCORES_SQL,
     "q52_ranking_scores": _RANKING_SQL,
     "q53_node_features": _nodes_sql(),

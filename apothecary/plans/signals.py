@@ -102,12 +102,12 @@ def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_max_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pair_rows(spark, sf_dir).withColumn("description", F.concat("description", F.col("seq").cast("string")))
     columns = ["pair_key", "severity", "description", "seq"]
-    return stores.upsert_greatest(rows.where("old").select(*columns), rows.where("not old").select(*columns), "pair_key", "severity", "seq", "seq")
+    return stores.upsert_greatest(rows.where("old").select(*columns), rows.where("not old").select(*columns), "pair_key", "severity", "description", "seq")
 
 
 _UPSERT_MAX_SQL = """
 SELECT least(lower(p_name), lower(p_brand)) || '_' || greatest(lower(p_name), lower(p_brand)) AS pair_key,
-  CAST(max(l_quantity) AS INTEGER) AS severity, max(l_orderkey * 100 + l_linenumber) AS seq
+  CAST(max(l_quantity) AS INTEGER) AS severity, arg_max(l_linestatus || (l_orderkey * 100 + l_linenumber), l_orderkey * 100 + l_linenumber) AS description
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
 """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apothecary.functions import names, text
@@ -20,23 +20,40 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.sentences(text.clean(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_sentences"), F.try_element_at(found, F.lit(-1)).alias("last_sentence"))
+    abbreviated = F.concat(text.clean(F.col("text")), F.lit(" Seen by Prof. Ba, i.e. One, in the U.S. Army etc. By Ms. Lo. "), F.lit("approx. Two e.g. Three"))
+    both = F.transform(F.array(text.sentences(abbreviated)), lambda s: F.struct(F.size(s).cast("long").alias("n_sentences"), F.try_element_at(s, F.lit(-1)).alias("last_sentence")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(both))
 
 
 _SENTENCE_SQL = rf"""
-WITH g AS (SELECT doc_id, regexp_replace({_clean_sql("text")}, '\b({"|".join(text.ABBREVIATIONS)})\.', '\1' || chr(1), 'g') AS t FROM documents),
+WITH g AS (SELECT doc_id, regexp_replace({_clean_sql("text")} || ' Seen by Prof. Ba, i.e. One, in the U.S. Army etc. By Ms. Lo. approx. Two e.g. Three', '{text.ABBREVIATION_PATTERN}', '\1' || chr(1), 'g') AS t FROM documents),
      s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS l FROM g)
 SELECT doc_id, len(l) AS n_sentences, l[-1] AS last_sentence FROM s
 """
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of every document with their length, token estimate and hash. Tested against a step-by-step model."""
+    """Chunks of every document with their length, token estimate and hash."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(text.chunks(text.clean(F.col("text")))).alias("place", "chunk"))
     return rows.select("doc_id", "source", "place", F.length("chunk").alias("char_count"), text.token_estimate(F.col("chunk")).alias("token_estimate"), text.content_hash(F.col("chunk")).alias("content_hash"))
 
 
+_CHUNK_SQL = rf"""
+WITH RECURSIVE g AS (SELECT doc_id, source, {_clean_sql("text")} AS t FROM documents),
+ s AS (SELECT doc_id, source, t, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '{text.ABBREVIATION_PATTERN}', '\1' || chr(1), 'g'), '([.!?])\s+([A-Z])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS l FROM g),
+ f AS (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS o FROM s WHERE length(t) > 1400
+  UNION ALL SELECT doc_id, i + 1,
+   CASE WHEN len(o) > 0 AND (length(array_to_string(o, '')) + length(l[i + 1]) > 1400 OR length(array_to_string(o, '')) >= 1000) THEN list_append(done, array_to_string(o, ' ')) ELSE done END,
+   CASE WHEN len(o) > 0 AND (length(array_to_string(o, '')) + length(l[i + 1]) > 1400 OR length(array_to_string(o, '')) >= 1000) THEN [o[-1], l[i + 1]] ELSE list_append(o, l[i + 1]) END
+  FROM f JOIN s USING (doc_id) WHERE i < len(l)),
+ c AS (SELECT doc_id, source, [t] AS c FROM s WHERE length(t) <= 1400
+  UNION ALL SELECT doc_id, source, CASE WHEN len(o) > 0 THEN list_append(done, array_to_string(o, ' ')) ELSE done END FROM f JOIN s USING (doc_id) WHERE i = len(l)),
+ k AS (SELECT doc_id, source, list_filter(c, lambda x: length(x) >= 80) AS c FROM c),
+ e AS (SELECT doc_id, source, unnest(c) AS chunk, generate_subscripts(c, 1) AS p FROM k)
+SELECT doc_id, source, CAST(p - 1 AS INTEGER) AS place, length(chunk) AS char_count, CAST(greatest(1, length(chunk) // 4) AS INTEGER) AS token_estimate, sha1(lower(chunk)) AS content_hash FROM e
+"""
+
+
 def exact_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.one_of_each_text(table(spark, sf_dir, "documents"), "text", [F.col("doc_id")]).select("doc_id", "lang", "source")
 
@@ -158,16 +175,29 @@ def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JSON_SQL = "SELECT event_id, props AS found, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events"
 
 
+#: Tails that tell the strengths and forms apart: each part gets one.
+_DOSED = ("(EC) 81 mg oral tablets", "HCl 25 mEq film-coated", "potassium 5 mmol/l", "500mg extended-release capsule", "2.5 mcg cream", "10 % solution er", "dr 40", "sodium (as salt) 3 units")
+
+
+def _tail(key: str, texts: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, texts)), (F.col(key) % len(texts) + 1).cast("int"))
+
+
 def dose_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    dosed = F.concat(F.initcap("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(") "), F.col("p_size").cast("string"), F.lit(" mg oral tablets"))
-    return parts.select("p_partkey", names.without_dose(dosed).alias("bare"), names.drug_name(F.concat(F.lit("  "), "p_name", F.lit("  x"))).alias("upper_name"))
+    dosed = F.concat(F.initcap("p_name"), F.lit(" "), _tail("p_partkey", _DOSED))
+    return parts.select("p_partkey", names.without_dose(dosed).alias("bare"), names.without_dose(_tail("p_partkey", _DOSED)).alias("bare_tail"), names.drug_name(F.concat(F.lit("  "), "p_name", F.lit("  x"))).alias("upper_name"))
+
 
+def _bare_sql(name: str) -> str:
+    bare = rf"lower(trim(regexp_replace(regexp_replace(regexp_replace(trim({name}), '\(.*?\)', '', 'g'), '(?i){names.DOSE_WORDS}', ' ', 'g'), '\s+', ' ', 'g')))"
+    return f"CASE WHEN length({bare}) < 2 THEN lower(trim({name})) ELSE {bare} END"
 
-_DOSE_SQL = """
-SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '\\b(?:tablets?|capsules?|injection|solution|oral|extended|release|er|xr|sr|cream|patch)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS bare,
-  regexp_replace(upper(trim('  ' || p_name || '  x')), '\\s+', ' ', 'g') AS upper_name FROM part
-""".replace("\\\\", "\\")
+
+_DOSE_SQL = rf"""
+WITH p AS (SELECT p_partkey, p_name, ({list(_DOSED)!r})[p_partkey % {len(_DOSED)} + 1] AS tail FROM part)
+SELECT p_partkey, {_bare_sql("p_name || ' ' || tail")} AS bare, {_bare_sql("tail")} AS bare_tail, regexp_replace(upper(trim('  ' || p_name || '  x')), '\s+', ' ', 'g') AS upper_name FROM p
+"""
 
 QUERIES = {
     "q15_clean_text": clean_text,
@@ -187,6 +217,7 @@ QUERIES = {
 SQL = {
     "q15_clean_text": f"SELECT doc_id, length({_clean_sql('text')}) AS n_clean, sha1({_clean_sql('text')}) AS clean_sha1 FROM documents",
     "q16_sentence_counts": _SENTENCE_SQL,
+    "q17_chunk_documents": _CHUNK_SQL,
     "q18_exact_text_dedup": _DEDUP_SQL,
     "q19_chunk_stats": _STATS_SQL,
     "q21_batched_lists": _BATCH_SQL,

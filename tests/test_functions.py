@@ -27,6 +27,8 @@ def test_source_family(spark, source, family):
         ("pubmed", "PMID: 12345678", "", "https://pubmed.ncbi.nlm.nih.gov/12345678/"),
         ("drugbank", "DB00682", None, "https://go.drugbank.com/drugs/DB00682"),
         ("drugbank", "warfarin", "", ""),
+        ("pubmed", "PMC1234567", "", ""),
+        ("label", "abc", "", "https://dailymed.nlm.nih.gov/dailymed/drugInfo.cfm?setid=abc"),
         ("pubmed", "1", "https://kept", "https://kept"),
     ],
 )
@@ -68,7 +70,7 @@ def test_destinations_are_in_order_and_once(spark):
     assert one(spark, rules.destinations(F.lit(None).cast("int"), F.lit(None).cast("boolean"))) == ["log"]
 
 
-@pytest.mark.parametrize(("said", "hours"), [("2 to 4 hours", 3.0), ("about 90 minutes", 1.5), ("1-2 days (24 hours)", 24.0), ("3 weeks", 504.0), ("unknown", None)])
+@pytest.mark.parametrize(("said", "hours"), [("2 to 4 hours", 4.0), ("about 90 minutes", 1.5), ("1-2 days (24 hours)", 24.0), ("2-3 weeks", 504.0), ("2.345 hours", 2.35), ("6 hrs", None), ("unknown", None)])
 def test_half_life(spark, said, hours):
     assert one(spark, numbers.half_life_hours(F.lit(said))) == hours
 
@@ -99,7 +101,10 @@ def test_json_object(spark, reply, found):
 
 
 def test_names(spark):
-    assert one(spark, names.without_dose(F.lit("Aspirin (EC) 81 mg oral tablets"))) == "aspirin"
+    assert one(spark, names.without_dose(F.lit("Aspirin (EC) 81 mg oral tablets"))) == "aspirin tablets"
+    assert one(spark, names.without_dose(F.lit("Potassium chloride HCl 25 mEq film-coated"))) == "chloride"
+    assert one(spark, names.generic_name(F.lit("Advil 400mg"))) == "ibuprofen"
+    assert one(spark, names.generic_name(F.lit("Warfarin 5mg daily"))) == "warfarin"
     assert one(spark, names.without_dose(F.lit("5 mg"))) == "5 mg"
     assert one(spark, text.distinct_ignoring_case(F.array(*map(F.lit, ("A", "b", "a", "B", "c"))))) == ["A", "b", "c"]
 

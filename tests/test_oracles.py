@@ -42,8 +42,8 @@ def test_matches_sql(spark, duck, name):
     assert ordered(got) == ordered(want)
 
 
-def test_every_query_but_two_has_sql():
-    assert set(registry.queries()) - set(SQL) == {"q17_chunk_documents", "q50_stratified_split"}
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(SQL)
 
 
 def test_flagship(spark):
