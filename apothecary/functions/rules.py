@@ -123,3 +123,39 @@ def destinations(severity: Column, is_critical: Column) -> Column:
 
 def lab_flag(value: Column, low: Column, high: Column, critical_low: Column, critical_high: Column) -> Column:
     return F.when(value <= critical_low, "CRIT LOW").when(value >= critical_high, "CRIT HIGH").when(value < low, "LOW").when(value > high, "HIGH").when(value.isNotNull(), "normal")
+
+
+#: Severity and confidence of known pairs, and of all others: fixed values.
+KNOWN_PAIRS = {
+    ("warfarin", "aspirin"): (3, 0.91),
+    ("warfarin", "ibuprofen"): (3, 0.88),
+    ("metformin", "contrast_dye"): (2, 0.85),
+    ("simvastatin", "clarithromycin"): (3, 0.93),
+    ("ssri", "tramadol"): (3, 0.87),
+    ("lisinopril", "potassium"): (2, 0.82),
+    ("metoprolol", "verapamil"): (2, 0.84),
+    ("ciprofloxacin", "antacid"): (1, 0.79),
+}
+UNKNOWN_PAIR = (0, 0.35)
+#: Names of the severities 0 to 3 in two vocabularies, where an alert of each goes, and the confidence under which more evidence is sought: fixed values.
+SEVERITY_LABELS = ("none", "mild", "moderate", "severe")
+MODEL_LABELS = ("none", "minor", "moderate", "major")
+ALERT_TYPES = ("log_only", "patient", "pharmacist", "physician")
+LOW_CONFIDENCE = 0.6
+
+
+def known_pair(a: Column, b: Column) -> tuple[Column, Column]:
+    """(severity from 0 to 3, confidence) of an unordered pair of generic names."""
+    key = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+    table = {"|".join(sorted(pair)): values for pair, values in KNOWN_PAIRS.items()}
+    severity, confidence = (_looked_up(key, {k: v[i] for k, v in table.items()}, UNKNOWN_PAIR[i]) for i in (0, 1))
+    return F.least(F.lit(3), F.greatest(F.lit(0), severity)), confidence
+
+
+def named(severity: Column, names: tuple[str, ...]) -> Column:
+    return F.get(F.array(*map(F.lit, names)), severity)
+
+
+def age_at(born: Column, day: Column) -> Column:
+    """Whole years of 365 days."""
+    return F.floor(F.datediff(day, born) / 365).cast("int")

@@ -60,6 +60,27 @@ def class_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return scored.withColumn("f1", F.when(both == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / both)).select("class", "support", "precision", "recall", "f1")
 
 
+def overall_scores(df: DataFrame, actual: str, predicted: str, severity: str, guess: str) -> DataFrame:
+    """One row: accuracy, macro averages over the classes seen, and the mean error of ``guess`` where ``severity`` is over 0."""
+    scores = class_scores(df, actual, predicted).agg(F.count("*").alias("n_classes"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))
+    whole = df.agg(F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("accuracy"), F.avg(F.when(F.col(severity) > 0, F.abs(F.col(severity) - F.col(guess)))).alias("severity_mae"))
+    return scores.join(F.broadcast(whole))
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``place`` from 0 in ascending order of a numeric column without repeats.
+
+    Places are counted in 4096 slices of equal width between the column's ends,
+    so that no task sorts everything; only the slices' counts meet in one.
+    """
+    ends = df.agg(F.min(order).alias("_low"), ((F.max(order) - F.min(order)) / 4096 + 1e-9).alias("_width"))
+    sliced = df.join(F.broadcast(ends)).withColumn("_slice", F.floor((F.col(order) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")
+    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_slice").orderBy(order)) - 1
+    return sliced.withColumn("_at", within).join(F.broadcast(before), "_slice").withColumn("place", F.col("_before") + F.col("_at")).drop("_slice", "_before", "_at")
+
+
 def ranking_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     """ROC area (ties by half), average precision and the two class counts, from counts per distinct score.
 

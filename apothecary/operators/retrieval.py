@@ -58,6 +58,12 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = 1.5
     return top_k(scores, ["query_id"], [F.desc(F.round("score", 9)), F.col("chunk_id")], k)
 
 
+def fused_order() -> list[Column]:
+    """By score, then dense rank, then sparse rank, absent ranks (null or -1) last."""
+    absent = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(-1)), F.lit(1 << 30))
+    return [F.desc(F.round("rrf_score", 12)), absent("dense_rank"), absent("sparse_rank"), F.col("chunk_id")]
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: query_id, chunk_id, rrf_score and both ranks (-1 where absent); ties go to the dense rank."""
     d = dense.select("query_id", "chunk_id", F.col("rank").alias("dense_rank"))
@@ -65,8 +71,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60) -> DataFrame:
     both = d.join(s, ["query_id", "chunk_id"], "full")
     share = lambda c: F.coalesce(1 / (k + F.col(c)), F.lit(0.0))
     fused = both.withColumn("rrf_score", share("dense_rank") + share("sparse_rank"))
-    order = [F.desc(F.round("rrf_score", 12)), F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last(), F.col("chunk_id")]
-    fused = ranked(fused, ["query_id"], order)
+    fused = ranked(fused, ["query_id"], fused_order())
     return fused.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("dense_rank", "sparse_rank")})
 
 

@@ -52,6 +52,27 @@ FROM s LEFT JOIN p a ON a.p_name = drug_a LEFT JOIN p b ON b.p_name = drug_b
 """
 
 
+def paired_figures(pairs: DataFrame, props: DataFrame) -> DataFrame:
+    """Pairs with signal and both sides' properties: gaps and ratios to four places, zeros (ratios: one) where a side is unknown."""
+    figures = ("mw", "logp", "binding", "life")
+    for side in "ab":
+        renamed = props.select(F.col("drug").alias("_key"), *[F.col(c).alias(f"_{c}_{side}") for c in (*figures, "boxed", "known")])
+        pairs = pairs.join(renamed, F.lower(f"drug_{side}") == F.col("_key"), "left").drop("_key")
+    a, b = ({c: F.col(f"_{c}_{side}") for c in figures} for side in "ab")
+    filled = lambda c, value=0.0: F.coalesce(c.cast("double"), F.lit(value))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(0))
+    present = sum((F.col(f"_{c}_{side}").isNotNull().cast("int") for c in figures for side in "ab"), F.lit(0))
+    return pairs.select(
+        "drug_a", "drug_b",
+        *[filled(F.col(f"_{c}_{side}")).alias(f"{c}_{side}") for c in figures for side in "ab"],
+        *[filled(F.round(numbers.gap(a[c], b[c]), 4)).alias(f"{c}_diff") for c in ("mw", "logp", "binding")],
+        *[filled(F.round(numbers.ratio(a[c], b[c]), 4), 1.0).alias(f"{c}_ratio") for c in ("mw", "logp", "life")],
+        "report_count", "death_count", "max_severity", F.round(F.col("death_count") / F.col("report_count"), 4).alias("death_rate"), F.round(F.log1p("report_count"), 4).alias("signal_strength"),
+        flag("_boxed_a").alias("boxed_a"), flag("_boxed_b").alias("boxed_b"), F.greatest(flag("_boxed_a"), flag("_boxed_b")).alias("either_boxed"), flag("_known_a").alias("known_a"), flag("_known_b").alias("known_b"),
+        F.round(present / 8, 3).alias("completeness"),
+    )
+
+
 def set_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared and joint brands of each co-occurring pair."""
     sets = table(spark, sf_dir, "part").groupBy("p_name").agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
@@ -73,11 +94,11 @@ FROM s JOIN b a ON a.p_name = drug_a JOIN b b ON b.p_name = drug_b
 
 
 #: Descriptions that tell the patterns apart: each part gets one of each.
-_LIVES = ("2 to 4 hours", "about 90 minutes", "1-2 days (24 hours)", "3 weeks", "unknown", "1.5 - 2.5 days", "10-20 min", "6 hrs", "2.345 hours", "7days")
-_BOUNDS = ("High (>90%)", "55 to 65%", "below 10%", "97%", "", "40-60 %", "slowly bound, 12%", "Moderate", "30 - %")
+LIVES = ("2 to 4 hours", "about 90 minutes", "1-2 days (24 hours)", "3 weeks", "unknown", "1.5 - 2.5 days", "10-20 min", "6 hrs", "2.345 hours", "7days")
+BOUNDS = ("High (>90%)", "55 to 65%", "below 10%", "97%", "", "40-60 %", "slowly bound, 12%", "Moderate", "30 - %")
 
 
-def _given(texts: tuple[str, ...]) -> Column:
+def given(texts: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
 
 
@@ -85,7 +106,7 @@ def text_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-lives, binding shares and severities out of descriptions."""
     said = F.concat(F.lit("Size "), F.col("p_size").cast("string"), F.lit(": "))
     severity = rules.severity_of_text(F.concat(F.col("p_type"), F.when(F.col("p_size") > 25, " Severe risk").otherwise(" minor risk")))
-    return table(spark, sf_dir, "part").select("p_partkey", numbers.half_life_hours(F.concat(said, _given(_LIVES))).alias("hours"), numbers.protein_binding(_given(_BOUNDS)).alias("bound"), severity.alias("severity"))
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.half_life_hours(F.concat(said, given(LIVES))).alias("hours"), numbers.protein_binding(given(BOUNDS)).alias("bound"), severity.alias("severity"))
 
 
 def _number_sql() -> str:
@@ -97,7 +118,7 @@ def _number_sql() -> str:
     bound = lambda k: figure(numbers.BINDING_PATTERN, k).replace("lower(life)", "lower(bound)")
     words = " ".join(f"WHEN contains(lower(bound), '{w}') THEN {v}" for w, v in numbers.BINDING_WORDS)
     return f"""
-WITH p AS (SELECT p_partkey, p_size, 'Size ' || p_size || ': ' || ({list(_LIVES)!r})[p_partkey % {len(_LIVES)} + 1] AS life, ({list(_BOUNDS)!r})[p_partkey % {len(_BOUNDS)} + 1] AS bound FROM part)
+WITH p AS (SELECT p_partkey, p_size, 'Size ' || p_size || ': ' || ({list(LIVES)!r})[p_partkey % {len(LIVES)} + 1] AS life, ({list(BOUNDS)!r})[p_partkey % {len(BOUNDS)} + 1] AS bound FROM part)
 SELECT p_partkey, round(coalesce({", ".join(cases)}), 2) AS hours, CAST(coalesce(CASE {words} END, ({bound(1)} + {bound(2)}) / 2, {bound(3)}, {bound(1)}) AS DOUBLE) AS bound, CASE WHEN p_size > 25 THEN 3 ELSE 1 END AS severity FROM p
 """
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apothecary.plans import features, rules, search, signals, texts
+from apothecary.plans import clinical, features, rules, search, signals, texts
 
-_MODULES = (signals, texts, search, rules, features)
+_MODULES = (signals, texts, search, rules, features, clinical)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
