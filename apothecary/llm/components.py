@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apothecary.llm.common import stored
+from apothecary.llm.common import shuffle_partitions, stored
 
 _SHARE = 1000  # a node with this part of all rows or more is hot: at most so many are
 
 
-def _hung(edges: DataFrame) -> DataFrame:
+_ROWS = 100_000  # of an edge table, in a task
+
+
+def _hung(edges: DataFrame, tasks: int) -> DataFrame:
     """Each edge's end ``u`` with ``m``, the least of ``u`` and its neighbours.
 
     The least of hot nodes, which are ``_SHARE`` at most, are broadcast, so
-    that the rows of a star's centre never meet in one task.
+    that the rows of a star's centre never meet in one task. Tables that one
+    task can hold are joined as they are.
     """
-    least = stored(edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")))
+    if tasks == 1:
+        least = edges.groupBy("u").agg(F.min("v").alias("least"))
+        return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).coalesce(tasks))
     total = least.agg(F.sum("n")).first()[0] or 0
     hot = least.where((F.col("n") * _SHARE >= total) & (F.col("n") > 1)).select("u", F.col("least").alias("hot"))
     marked = edges.join(F.broadcast(hot), "u", "left")
@@ -40,11 +47,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
+        # Late rounds have few edges: as many tasks as their number asks for.
+        tasks = max(1, min(shuffle_partitions(edges.sparkSession), 2 * state[0] // _ROWS))
         both = edges.union(edges.select("v", "u"))
-        large = _hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _hung(stored(large))
+        large = _hung(both, tasks).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _hung(stored(large.coalesce(tasks)) if tasks > 1 else large, tasks)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(tasks))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
