@@ -40,6 +40,8 @@ class ByteBpe:
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
+        if model["model"]["type"] != "BPE" or model.get("normalizer") or "ByteLevel" not in json.dumps(model.get("pre_tokenizer")):
+            raise ValueError("the file is no byte-level BPE vocabulary without normalisation")
         special = {x["content"]: x["id"] for x in model["added_tokens"] if x["special"]}
         to_byte = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(to_byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}

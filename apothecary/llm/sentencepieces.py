@@ -20,6 +20,7 @@ from apothecary.llm.common import chosen
 from apothecary.llm.pretokens import units
 
 _MARK = "▁"
+_PROBE = "Ａ  b\u00a0① ﬁ e\u0301 "  # nothing of this stays as it is under the usual normalisations
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xBF58476D1CE4E5B9)
 _SHIFT = np.uint64(29)
@@ -38,6 +39,8 @@ class UnigramModel:
         import sentencepiece
 
         file = sentencepiece.SentencePieceProcessor(model_file=path)
+        if file.normalize(_PROBE) != _MARK + _PROBE.replace(" ", _MARK):
+            raise ValueError("the file normalises texts: only identity normalisation behind a space in front is known here")
         size = file.get_piece_size()
         self.byte_ids = np.array([file.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
         plain = [i for i in range(size) if not (file.is_control(i) or file.is_unknown(i) or file.is_unused(i) or file.is_byte(i))]
@@ -124,7 +127,7 @@ class UnigramModel:
         return learnt
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library gives them for a unigram model; none for an empty one."""
+        """Ids of each text: of greatest total score, as the library gives them for a unigram model but for ties; none for an empty one."""
         known, cut = self._known, [units(text) if text else [] for text in texts]
         if len(known) > self._most:
             known.clear()

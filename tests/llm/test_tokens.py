@@ -107,3 +107,62 @@ def test_encoding_round_trip(spark, texts):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts)) | {None: ""}
     assert encoded.where("text = '' or text is null").agg(F.max(F.size("ids"))).first()[0] == 0
     assert sentencepieces.encode(df.limit(0), MODEL).collect() == []
+
+
+def _varint(data, at):
+    value = shift = 0
+    while True:
+        byte = data[at]
+        value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+        if byte < 128:
+            return value, at
+
+
+def _fields(data, at, end):
+    """(number, begin, end) of the varint and length-delimited fields of a protobuf message."""
+    while at < end:
+        key, at = _varint(data, at)
+        kind = key & 7
+        if kind == 2:
+            size, at = _varint(data, at)
+            yield key >> 3, at, at + size
+            at += size
+        elif kind == 0:
+            begin = at
+            _, at = _varint(data, at)
+            yield key >> 3, begin, at
+        else:
+            at += 4 if kind == 5 else 8
+
+
+def test_words_have_the_librarys_ids_under_a_unigram_reading_of_the_file(tmp_path):
+    """The file's pieces and scores, read by the library itself as a unigram model: nearly all words agree, and none scores less here."""
+    import duckdb
+    import sentencepiece
+
+    from apothecary.llm.common import public_tokenizer
+    from apothecary.llm.sentencepieces import UnigramModel
+
+    data = bytearray(open(public_tokenizer("piece_bpe_32k.model"), "rb").read())
+    for number, begin, end in list(_fields(data, 0, len(data))):
+        if number == 2:  # the trainer's settings, of which field 3 is the model's type
+            data[next(b for n, b, _ in _fields(data, begin, end) if n == 3)] = 1
+    (tmp_path / "unigram.model").write_bytes(data)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/unigram.model"), UnigramModel(f"{tmp_path}/unigram.model")
+    texts = duckdb.sql(f"select text from '{SMALL}/documents.parquet'").fetchall()
+    words = sorted({w for (t,) in texts for w in t.split()})
+    total = lambda ids: sum(library.get_score(int(i)) for i in ids)
+    different = [(w, x, y) for w, x, y in zip(words, own.encode(words), library.encode(words), strict=True) if list(x) != y]
+    assert len(different) < 0.01 * len(words)
+    assert all(total(x) >= total(y) - 1e-3 for _, x, y in different)
+
+
+def test_a_file_that_normalises_texts_is_refused(monkeypatch):
+    import sentencepiece
+
+    from apothecary.llm.common import public_tokenizer
+    from apothecary.llm.sentencepieces import UnigramModel
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, text: text.lower())
+    with pytest.raises(ValueError, match="normalises"):
+        UnigramModel(public_tokenizer("piece_bpe_32k.model"))
