@@ -181,3 +181,36 @@ def test_near_copy_stage_tells_texts_of_one_id_apart(spark):
     kept = [(r["doc_id"], r["text"]) for r in got]
     assert kept.count((1, one)) == kept.count((2, two)) == kept.count((4, four)) == kept.count((4, None)) == 1
     assert len(kept) == 5 and sum(r[0] == 3 for r in kept) == 1
+
+
+def slow_risk(scorer, positive, unlabelled):
+    """The non-negative risk with logistic loss, row by row."""
+    loss = lambda z: float(np.log1p(np.exp(-abs(z))) + max(-z, 0))
+    p, u = scorer.margin(positive), scorer.margin(unlabelled)
+    on_positive, negative = (sum(loss(s * z) for z in p) / len(p) for s in (1, -1))
+    return scorer.prior * on_positive + max(0.0, sum(loss(-z) for z in u) / len(u) - scorer.prior * negative)
+
+
+def test_the_fitted_scorer_has_a_low_risk_by_a_slow_count():
+    """No small change of the last layer lowers the risk by much, and the classes part at the right place."""
+    import copy
+
+    rng = np.random.default_rng(6)
+    positive, good, bad = rng.normal(0, 1, (800, 3)), rng.normal(0, 1, (700, 3)), rng.normal(3, 1, (300, 3))
+    mixed = rng.permutation(np.vstack([good, bad]))
+    scorer = quality.fit(positive, mixed, 0.7)
+    risk = slow_risk(scorer, positive, mixed)
+    assert risk < slow_risk(quality.fit(positive, mixed, 0.7, rounds=5), positive, mixed)
+    for _ in range(30):
+        other = copy.copy(scorer)
+        other.w2, other.b2 = scorer.w2 + rng.normal(0, 0.05, len(scorer.w2)), scorer.b2 + rng.normal(0, 0.05)
+        assert slow_risk(other, positive, mixed) > risk - 0.02
+    assert (scorer(good) >= 0.5).mean() > 0.95 and (scorer(bad) >= 0.5).mean() < 0.1
+
+
+def test_null_and_repeated_labels_change_nothing(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    odd = labels.union(labels).union(labels.select("doc_id", F.lit(None).cast("int").alias("quality"), "toxic"))
+    key = lambda rows: sorted((r["doc_id"], r["score"]) for r in rows)
+    assert key(quality.score_documents(docs, odd).collect()) == key(quality.score_documents(docs, labels).collect())
