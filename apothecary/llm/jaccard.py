@@ -11,6 +11,7 @@ a group of thousands of near copies never becomes a table of pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import comb
 
@@ -54,16 +55,32 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 _BLOCK = 1 << 18
+_GAP = re.compile(r"\s")
 _BYTES = np.random.default_rng(41).integers(1, 2**64 - 1, 256, dtype=_U)
 _POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, dtype=_U))
 
 
+def text_blocks(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """A text in parts of about ``size`` letters, cut at white space, so that the words of a long one are never all held."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def text_hashes(text: str) -> np.ndarray:
+    """The hashes of a text's words, in order."""
+    found = [word_hashes(words) for words in map(str.split, text_blocks(text)) if words]
+    return np.concatenate(found) if found else np.empty(0, dtype=_U)
+
+
 def shingles(text: str, width: int = 5) -> np.ndarray:
     """Distinct runs of ``width`` words as sorted 64-bit hashes; a shorter text is one shingle."""
-    words = text.split()
-    if not words:
+    h = text_hashes(text)
+    if not len(h):
         return np.empty(0, dtype=_U)
-    h = word_hashes(words)
     width = min(width, len(h))
     out = np.zeros(len(h) - width + 1, dtype=_U)
     for k in range(width):

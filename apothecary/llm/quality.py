@@ -10,7 +10,6 @@ and the shares of hashed byte trigrams and hashed words.
 
 from __future__ import annotations
 
-import operator
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apothecary.llm.common import chosen, slices
-from apothecary.llm.jaccard import word_hashes
+from apothecary.llm.jaccard import text_hashes
 
 _SYMBOLS = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"!?()-|" for b in range(256)], dtype=float)
 _UPPER = np.array([65 <= b < 91 for b in range(256)], dtype=float)
@@ -33,35 +32,38 @@ _ONE = {c: np.eye(1, 256, ord(c))[0] for c in "!|\n.,"}
 _HASHED = 256  # buckets of trigrams, and as many of words
 
 
-def _hashed(data: np.ndarray, words: list[str]) -> np.ndarray:
-    """The shares of byte trigrams and of words in each bucket."""
-    out = np.zeros(2 * _HASHED)
-    if len(data) > 2:
-        wide = data.astype(np.uint32)
+_BLOCK = 1 << 18  # bytes of a text counted at a time
+
+
+def _trigrams(data: np.ndarray) -> np.ndarray:
+    """The shares of byte trigrams in each bucket."""
+    out = np.zeros(_HASHED)
+    for at in range(0, len(data) - 2, _BLOCK):
+        wide = data[at : at + _BLOCK + 2].astype(np.uint32)
         codes = (wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]) * np.uint32(2_654_435_761)
-        out[:_HASHED] = np.bincount(codes >> np.uint32(24), minlength=_HASHED) / len(codes)
-    if words:
-        out[_HASHED:] = np.bincount((word_hashes(words) >> np.uint64(56)).astype(np.int64), minlength=_HASHED) / len(words)
-    return out
+        out += np.bincount(codes >> np.uint32(24), minlength=_HASHED)
+    return out / max(1, len(data) - 2)
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """A row of figures for each text; zeros for an empty one."""
+    """A row of figures for each text; zeros for an empty one. Words are told apart by 64-bit hashes."""
     hashed = np.zeros((len(texts), 2 * _HASHED))
     histogram, others = np.zeros((len(texts), 256)), np.zeros((len(texts), 6))
     for k, text in enumerate(texts):
-        data = text.encode()
-        if not data:
+        coded = text.encode()
+        if not coded:
             continue
-        words = text.split()
+        data, words = np.frombuffer(coded, dtype=np.uint8), text_hashes(text)
         n = max(1, len(words))
-        hashed[k] = _hashed(np.frombuffer(data, dtype=np.uint8), words)
-        histogram[k] = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
+        hashed[k, :_HASHED] = _trigrams(data)
+        hashed[k, _HASHED:] = np.bincount((words >> np.uint64(56)).astype(np.int64), minlength=_HASHED) / n
+        for at in range(0, len(data), _BLOCK):
+            histogram[k] += np.bincount(data[at : at + _BLOCK], minlength=256)
         others[k] = (
             np.log1p(len(data)),
-            len(zlib.compress(data, 1)) / (len(data) + 20),
-            sum(map(operator.eq, words, words[1:])) / n,
-            len(set(words)) / n,
+            len(zlib.compress(coded, 1)) / (len(data) + 20),
+            (words[1:] == words[:-1]).sum() / n,
+            len(np.unique(words)) / n,
             len(data) / n,
             n,
         )
