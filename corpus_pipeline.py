@@ -14,6 +14,15 @@ from apothecary.llm.common import Bits, public_tokenizer, stored, table
 
 ORACLE_SQL = None  # a classifier and an exact byte-string match are not SQL
 
+#: Settings for rows that hold whole texts: what a scan and an exchange with Python hold at a time.
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch sizes; results are the same. They hold on, as a stage's plan runs when its result is written."""
+    for name, value in SMALL_BATCHES.items():
+        spark.conf.set(name, value)
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.
@@ -22,6 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     repeated rows stay; an empty table stays empty. No column is added or
     changed, whatever its name.
     """
+    _small_batches(spark)
     scorer = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score_column(scorer, F.col("text")) >= 0.5)
 
@@ -34,6 +44,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     or that several rows share, keeps all other texts out of the shuffle. An
     empty table stays empty; columns of any name pass through.
     """
+    _small_batches(spark)
     groups = stored(jaccard.jaccard_groups(docs, keys=True).where("doc_id is not null").select("doc_id", "text_hash", "class_id", "root"))
     least = groups.where("doc_id = class_id and root is not null").groupBy("root", "doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most")
     others = groups.join(least, ["root", "doc_id"]).where("text_hash <> least").select("doc_id", "text_hash")
@@ -54,6 +65,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes empty; a null id comes first in the order; repeated
     rows get the same text; an empty table stays empty; other columns pass.
     """
+    _small_batches(spark)
     found = suffix_dedup.remove_repeats(docs, carry=tuple(docs.columns))
     kept = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
@@ -63,6 +75,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of at most 2048; a null text has its end token only."""
+    _small_batches(spark)
     return packing.pack(packing.token_pieces(docs, public_tokenizer("byte_bpe_50k.json")))
 
 
