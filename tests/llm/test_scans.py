@@ -1,0 +1,177 @@
+"""Periodic runs, secrets and the prefix trie against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from apothecary.llm import periodic_runs, prefix_trie, queries, secrets
+from tests.conftest import SMALL
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def slow_runs(words):
+    n, runs = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                runs.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    found = sorted((s, e - s, q) for (s, e), q in runs.items())
+    dropped = {k for s, n, q in found for k in range(s + q, s + n)}
+    return found, [w for k, w in enumerate(words) if k not in dropped]
+
+
+def periodic_text(rng):
+    words = []
+    for _ in range(rng.randint(0, 5)):
+        letters = rng.choice([1, 2, 2, 3, 30])
+        part = [str(rng.randrange(letters)) for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 30]))] * rng.choice([1, 2, 3, 4, 5, 9])
+        words += part[: len(part) - rng.randint(0, 2)]
+    return rng.choice([" ", "\t\n"]).join(words)
+
+
+def test_runs_equal_slow_ones():
+    rng = random.Random(11)
+    for _ in range(60):
+        texts = [periodic_text(rng) for _ in range(rng.randint(1, 6))]
+        got = periodic_runs.runs_and_kept([t.encode() for t in texts])
+        for text, (runs, kept) in zip(texts, got, strict=True):
+            want, words = slow_runs(WORD.findall(text))
+            assert runs == want and kept.decode() == " ".join(words)
+
+
+def test_runs_nested_long_and_odd_texts(spark):
+    block = "a a a a a a b " * 5
+    rows = [(1, block), (2, None), (3, ""), (4, " \t\n"), (None, "x " * 7), (1, block), (5, "é é " * 6), (6, "y " * 200_000), (7, "a b " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("runs", F.lit("clash"))
+    got = sorted(((r["doc_id"], [tuple(x) for x in r["runs"]], r["collapsed"]) for r in periodic_runs.find_runs(df).collect()), key=str)
+    want = [(i, *slow_runs(WORD.findall(t or ""))) for i, t in rows if i != 6] + [(6, [(0, 200_000, 1)], ["y"])]
+    assert got == sorted(((i, runs, " ".join(kept)) for i, runs, kept in want), key=str)
+    assert periodic_runs.find_runs(df.where("false")).count() == 0
+
+
+def test_op11_on_whole_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.op11_periodic_runs(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        words = WORD.findall(d["text"] or "")
+        n, h = len(words), zlib.crc32(str(d["doc_id"]).encode())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+        runs, kept = slow_runs(words) if n < 1500 else periodic_runs.runs_and_kept([" ".join(words).encode()])[0]
+        kept = " ".join(kept) if isinstance(kept, list) else kept.decode()
+        r = got[d["doc_id"]]
+        top = min(runs, key=lambda x: (-x[1], x[0], x[2])) if runs else (None,) * 3
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *top)
+        assert r["exponent_milli"] == (1000 * top[1] // top[2] if runs else None)
+        assert r["runs_sha256"] == hashlib.sha256("".join("%d,%d,%d\n" % x for x in runs).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+
+
+def slow_secrets(text, rules=secrets.RULES):
+    found = []
+    for k, rule in enumerate(rules):
+        for m in re.finditer(rule.pattern, text, re.ASCII | (re.IGNORECASE if rule.any_case else 0)):
+            if len(m[rule.group]) >= rule.least:
+                found.append((m.start(), k, m.end()))
+    return [(rules[k].kind, s, e) for s, k, e in sorted(found)]
+
+
+PARTS = ["password", "SECRET", "api_key", ":", "=", " ", '"', "abcdef", "AKIA", "ABCDEFGHIJ0123456", "0123456789abcdef", "é", "日", "\n", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "x" * 36, "xoxb-", "AIza", "sk_live_", "pass", "word", "\x00"]
+
+
+def test_secrets_equal_plain_expressions():
+    rng, scan = random.Random(12), secrets.scanner(secrets.RULES)
+    for turn in range(120):
+        texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 4000 if turn % 20 == 0 else 60))) for _ in range(rng.randint(1, 5))]
+        assert secrets.spans_of(scan, [t.encode() for t in texts]) == [slow_secrets(t) for t in texts]
+
+
+def test_secrets_of_odd_rows_and_masks(spark):
+    long = "a b " * 3_000_000 + "token=abcdef1 é " + "0123456789abcdef" * 500_000
+    rows = [(1, "é password: 'hunter22' x"), (1, "é password: 'hunter22' x"), (2, None), (3, ""), (None, "deadbeef" * 3), (4, "token=abc"), (5, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    got = secrets.find_secrets(df, mask="*").collect()
+    want = sorted(((i, slow_secrets(t or "")) for i, t in rows), key=str)
+    assert sorted(((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in got), key=str) == want
+    assert {r["masked"] for r in got if r["doc_id"] == 1} == {"é *' x"}
+    assert secrets.find_secrets(df.where("false")).count() == 0
+
+
+def test_op12_on_whole_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.op12_secrets(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        spans, r = slow_secrets(d["text"] or ""), got[d["doc_id"]]
+        base = [s for s in spans if s[0] in ("assign", "access", "hex")]
+        assert r["spans"] == ",".join("%s:%d:%d" % s for s in spans)
+        assert r["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in base) for k in ("assign", "access", "hex")]
+
+
+def slow_trie(turns):
+    """Nodes of {conv_id: ((role, text), ...)} as the query reports them."""
+    nodes = {}
+    for c, seq in turns.items():
+        for d in range(len(seq) + 1):
+            nodes.setdefault(tuple(seq[:d]), []).append(c)
+    out = []
+    for k, members in nodes.items():
+        below = [x for x in nodes if x[: len(k)] == k]
+        children = lambda x: sum(len(y) == len(x) + 1 and y[: len(x)] == x for y in nodes)
+        saved = sum((len(nodes[x]) - 1) * len(x[-1][1]) for x in below if x)
+        ends = ",".join(str(c) for c in sorted(c for c in members if len(turns[c]) == len(k)))
+        parent = min(nodes[k[:-1]]) if k else None
+        out.append((min(members), len(k), parent, len(members), children(k), sum(children(x) == 0 for x in below), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def reported(lists):
+    nodes, ends = prefix_trie.prefix_trie(lists)
+    nodes = nodes.join(prefix_trie.ends_digests(ends), "key", "left").fillna({"ends_sha256": hashlib.sha256(b"").hexdigest()})
+    return sorted((tuple(r) for r in nodes.select(COLUMNS).collect()), key=str)
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_trie_equals_slow_one(spark, monkeypatch, block):
+    monkeypatch.setattr(prefix_trie, "_BLOCK", block)
+    rng = random.Random(13)
+    rows = [(c, t, rng.choice(["user", None]), rng.choice(["a", "bb", "é" * 40, None])) for c in range(60) for t in range(rng.choice([1, 2, 5]))]
+    rows += [(c, 0, "system", "hot") for c in range(100, 140)] + [(200, None, "b", "x"), (200, 1, "a", "y"), (None, 0, "user", "lost")] + [(300, t, "user", "long") for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
+    turns = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        if c is not None:
+            turns.setdefault(c, []).append((role or "", text or ""))
+    assert reported(prefix_trie.turn_lists(df)) == slow_trie(turns)
+    empty = df.where("false")
+    assert reported(prefix_trie.turn_lists(empty)) == []
+    turnless = spark.createDataFrame([(1, None), (2, [])], "conv_id long, turns array<struct<turn binary, chars long>>")
+    assert reported(turnless) == slow_trie({1: [], 2: []})
+
+
+def test_op13_equals_sql(spark):
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{SMALL}/conversations.parquet'")
+    want = duck.sql(queries.OP13_SQL)
+    assert want.columns == COLUMNS
+    got = queries.op13_prefix_trie(spark, SMALL)
+    assert sorted((tuple(r) for r in got.select(COLUMNS).collect()), key=str) == sorted(want.fetchall(), key=str)
