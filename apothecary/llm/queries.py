@@ -134,8 +134,11 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    def only(*names):
+        return F.filter("spans", lambda s: s["kind"].isin(*names))
+
+    counts = [F.size(only(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    base = only(*kinds)
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
