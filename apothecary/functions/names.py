@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Citation prefix of each source family: fixed values.
-PREFIXES = {"dailymed": "FDA", "faers": "FAERS", "pubmed": "PUB", "drugbank": "DB", "rxnorm": "RXN"}
-#: Spellings of the source families, without separators: fixed values.
-SOURCE_ALIASES = {"dailymed": "dailymed", "fda": "dailymed", "label": "dailymed", "fdalabel": "dailymed", "faers": "faers", "pubmed": "pubmed", "pmc": "pubmed", "pmid": "pubmed", "drugbank": "drugbank", "rxnorm": "rxnorm"}
+#: Citation prefix of each source: fixed values.
+PREFIXES = {"dailymed": "FDA", "fda": "FDA", "faers": "FAERS", "pubmed": "PUB", "pmid": "PUB", "drugbank": "DB", "rxnorm": "RXN"}
+#: Shown name of each source: fixed values.
+LABELS = {"dailymed": "FDA DailyMed", "fda": "FDA DailyMed", "faers": "FDA FAERS", "pubmed": "PubMed", "pmid": "PubMed", "drugbank": "DrugBank", "rxnorm": "RxNorm"}
+#: Other spellings of sources: fixed values.
+SOURCE_ALIASES = {"daily_med": "dailymed", "daily-med": "dailymed", "label": "dailymed", "fda_label": "dailymed", "pmc": "pubmed", "pub_med": "pubmed"}
 #: Strengths and dose forms that are no part of a name: a fixed value.
 DOSE_WORDS = r"\b(\d+\s*(?:mg|mcg|g|ml|%|units?|iu|meq|mmol)|oral|tablet|capsule|injection|solution|extended.release|er|xr|sr|cr|dr|hcl|hydrochloride|sodium|potassium|film.coated|delayed.release|modified.release)\b"
 #: From a strength, or a word of frequency, to the end of a name: fixed values.
@@ -43,15 +45,24 @@ def generic_name(name: Column) -> Column:
     return F.coalesce(F.element_at(table, bare), bare)
 
 
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for item in table.items() for x in item]), key)
+
+
 def source_family(source: Column) -> Column:
-    key = F.regexp_replace(F.lower(F.coalesce(source, F.lit(""))), r"[^a-z0-9]", "")
-    table = F.create_map(*[F.lit(x) for item in SOURCE_ALIASES.items() for x in item])
-    return F.coalesce(F.element_at(table, key), F.when(key == "", F.lit("unknown")).otherwise(key))
+    """The lower-case source, aliases as what they stand for; ``unknown`` where there is none."""
+    key = F.lower(F.trim(F.coalesce(source, F.lit(""))))
+    return F.coalesce(_looked_up(SOURCE_ALIASES, key), F.when(key == "", F.lit("unknown")).otherwise(key))
 
 
 def citation_prefix(source: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for item in PREFIXES.items() for x in item])
-    return F.coalesce(F.element_at(table, source_family(source)), F.lit("SRC"))
+    return F.coalesce(_looked_up(PREFIXES, source_family(source)), F.lit("SRC"))
+
+
+def source_label(source: Column) -> Column:
+    """The shown name of a source; of others the name as it came, in capitals, or ``Source``."""
+    named = F.upper(F.coalesce(source, F.lit("")))
+    return F.coalesce(_looked_up(LABELS, source_family(source)), F.when(named == "", F.lit("Source")).otherwise(named))
 
 
 def document_url(source: Column, doc_id: Column, existing: Column) -> Column:
@@ -69,11 +80,12 @@ def document_url(source: Column, doc_id: Column, existing: Column) -> Column:
 
 
 def citation_identity(source: Column, doc_id: Column, section: Column, chunk_id: Column, text: Column | None = None) -> Column:
-    """The same for two chunks of one section of one document; chunks without a document go by their id, or by their text."""
-    part = lambda c: F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    """The same for two chunks of one section of one document, whatever the case; chunks without a document go by their id as it is, or by their text."""
+    part = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    chunk = F.coalesce(chunk_id.cast("string"), F.lit(""))
     digest = F.left(F.sha1(F.coalesce(F.lit("") if text is None else text, F.lit("")).cast("binary")), F.lit(16))
     return (
-        F.when(part(doc_id) != "", F.concat_ws("|", source_family(source), part(doc_id), part(section)))
-        .when(part(chunk_id) != "", F.concat_ws("|", source_family(source), F.lit("chunk"), part(chunk_id)))
+        F.when(part(doc_id) != "", F.concat_ws("|", source_family(source), F.lower(part(doc_id)), F.upper(part(section))))
+        .when(chunk != "", F.concat_ws("|", source_family(source), F.lit("chunk"), chunk))
         .otherwise(F.concat_ws("|", source_family(source), F.lit("text"), digest))
     )

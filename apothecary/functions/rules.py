@@ -76,31 +76,38 @@ def adjusted_severity(
     high_inr: Column,
     prior_ignored: Column,
 ) -> tuple[Column, Column]:
-    """(severity after all rules, at most 3; reasons in rule order).
+    """(severity after all rules, at most 3; the rules that held, in order, as structs of ``rule`` and ``delta``).
 
-    Additive rules raise by one, forcing rules go to 3.
+    A rule either adds one or lifts what stands so far to three; the delta is
+    what it adds. The rule of a high INR counts only where it lifts.
     """
-    severe = renal_cleared & renal_severe
-    forced = {
-        "renal_severe": severe,
-        "anticoagulant_high_inr": anticoagulant & high_inr,
-        "pregnancy": pregnancy_risk & pregnant,
-        "dialysis": renal_cleared & dialysis,
+    holds = {
+        "renal_severe": (renal_cleared & renal_severe, True),
+        "renal_moderate": (renal_cleared & renal_impaired & ~F.coalesce(renal_severe, F.lit(False)), False),
+        "hepatic_impaired": (hepatic_cleared & hepatic_impaired, False),
+        "elderly": (elderly, False),
+        "high_inr_anticoagulant": (anticoagulant & high_inr, True),
+        "pregnancy_contraindicated": (pregnancy_risk & pregnant, True),
+        "dialysis": (renal_cleared & dialysis, True),
+        "prior_ignored_alert": (prior_ignored, False),
     }
-    raised = {
-        "renal_moderate": renal_cleared & renal_impaired & ~severe,
-        "hepatic": hepatic_cleared & hepatic_impaired,
-        "elderly": elderly,
-        "prior_ignored": prior_ignored,
-    }
-    order = ("renal_severe", "renal_moderate", "hepatic", "elderly", "anticoagulant_high_inr", "pregnancy", "dialysis", "prior_ignored")
-    added = sum((F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0) for c in raised.values()), F.lit(0))
-    to_three = F.lit(False)
-    for c in forced.values():
-        to_three = to_three | F.coalesce(c, F.lit(False))
-    severity = F.when(to_three, F.lit(3)).otherwise(F.least(F.lit(3), base + added))
-    reasons = F.filter(F.array(*[F.when(F.coalesce((forced | raised)[n], F.lit(False)), F.lit(n)) for n in order]), lambda r: r.isNotNull())
-    return severity, reasons
+    flags = [
+        F.struct(F.lit(name).alias("rule"), F.coalesce(held, F.lit(False)).alias("held"), F.lit(lifts).alias("lifts"))
+        for name, (held, lifts) in holds.items()
+    ]
+    none = F.array().cast("array<struct<rule:string,delta:int>>")
+
+    def applied(state: Column, flag: Column) -> Column:
+        delta = F.when(flag["lifts"], F.greatest(F.lit(0), 3 - state["severity"])).otherwise(1).cast("int")
+        counts = flag["held"] & ((flag["rule"] != "high_inr_anticoagulant") | (delta > 0))
+        rules = F.concat(state["rules"], F.array(F.struct(flag["rule"].alias("rule"), delta.alias("delta"))))
+        return F.struct(
+            F.when(counts, state["severity"] + delta).otherwise(state["severity"]).cast("int").alias("severity"),
+            F.when(counts, rules).otherwise(state["rules"]).alias("rules"),
+        )
+
+    state = F.aggregate(F.array(*flags), F.struct(base.cast("int").alias("severity"), none.alias("rules")), applied)
+    return F.least(F.lit(3), state["severity"]), state["rules"]
 
 
 def urgency(severity: Column, *, inr: Column, anticoagulant: Column, pregnant: Column, pregnancy_risk: Column, dialysis: Column, prior_unacknowledged: Column) -> Column:

@@ -26,8 +26,12 @@ def citation_keys(chunks: DataFrame, query: str, order: str) -> DataFrame:
     return numbered.withColumn("key", F.concat("prefix", F.lit("-"), F.col("number").cast("string")))
 
 
+#: Keys in a text, of known prefixes only: a fixed value.
+CITED = r"\[((?:FDA|FAERS|PUB|DB|RXN|SRC)-\d+)\]"
+
+
 def cited_keys(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([A-Z]+-\d+)\]"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(CITED), F.lit(1)))
 
 
 def compare_cited(cited: Column, known: Column) -> dict[str, Column]:

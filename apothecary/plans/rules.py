@@ -43,14 +43,18 @@ def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjust_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adjusted(spark, sf_dir).select("c_custkey", "base", "severity", F.array_join("reasons", ",").alias("reasons"))
+    return _adjusted(spark, sf_dir).select("c_custkey", "base", "severity", F.array_join(F.transform("reasons", lambda r: F.concat(r["rule"], F.lit(" +"), r["delta"].cast("string"))), ",").alias("reasons"))
 
 
 _ADJUST_SQL = f"""
 {_PATIENT_SQL}, f AS (SELECT *, {_FLAGS_SQL} FROM p),
 a AS (SELECT *, renal_cleared AND renal_severe AS r1, renal_cleared AND renal_impaired AND NOT renal_severe AS r2, hepatic_cleared AND hepatic_impaired AS r3, elderly AS r4, anticoagulant AND bleeding_risk AS r5,
   pregnancy_risk AND pregnant AS r6, renal_cleared AND dialysis AS r7, prior_ignored AS r8 FROM f),
-s AS (SELECT *, CASE WHEN r1 OR r5 OR r6 OR r7 THEN 3 ELSE least(3, base + r2::INT + r3::INT + r4::INT + r8::INT) END AS severity FROM a)
+d1 AS (SELECT *, CASE WHEN r1 THEN greatest(0, 3 - base) END AS d1 FROM a),
+d5 AS (SELECT *, base + coalesce(d1, 0) + r2::INT + r3::INT + r4::INT AS s4, CASE WHEN r5 AND s4 < 3 THEN 3 - s4 END AS d5 FROM d1),
+d6 AS (SELECT *, s4 + coalesce(d5, 0) AS s5, CASE WHEN r6 THEN greatest(0, 3 - s5) END AS d6 FROM d5),
+d7 AS (SELECT *, s5 + coalesce(d6, 0) AS s6, CASE WHEN r7 THEN greatest(0, 3 - s6) END AS d7 FROM d6),
+s AS (SELECT *, CAST(least(3, s6 + coalesce(d7, 0) + r8::INT) AS INTEGER) AS severity FROM d7)
 """
 
 
@@ -155,7 +159,7 @@ QUERIES = {
 }
 SQL = {
     "q34_patient_flags": f"WITH {_PATIENT_SQL} SELECT c_custkey, {_FLAGS_SQL} FROM p",
-    "q35_adjust_severity": f"WITH {_ADJUST_SQL} SELECT c_custkey, base, severity, concat_ws(',', CASE WHEN r1 THEN 'renal_severe' END, CASE WHEN r2 THEN 'renal_moderate' END, CASE WHEN r3 THEN 'hepatic' END, CASE WHEN r4 THEN 'elderly' END, CASE WHEN r5 THEN 'anticoagulant_high_inr' END, CASE WHEN r6 THEN 'pregnancy' END, CASE WHEN r7 THEN 'dialysis' END, CASE WHEN r8 THEN 'prior_ignored' END) AS reasons FROM s",
+    "q35_adjust_severity": f"WITH {_ADJUST_SQL} SELECT c_custkey, base, severity, concat_ws(',', 'renal_severe +' || d1, CASE WHEN r2 THEN 'renal_moderate +1' END, CASE WHEN r3 THEN 'hepatic_impaired +1' END, CASE WHEN r4 THEN 'elderly +1' END, 'high_inr_anticoagulant +' || d5, 'pregnancy_contraindicated +' || d6, 'dialysis +' || d7, CASE WHEN r8 THEN 'prior_ignored_alert +1' END) AS reasons FROM s",
     "q36_urgency": f"WITH {_ADJUST_SQL}{_URGENCY_SQL} SELECT c_custkey, severity, urgency FROM u",
     "q37_routing": f"WITH {_ADJUST_SQL}{_URGENCY_SQL}{_ROUTE_SQL}",
     "q38_alert_inbox": _INBOX_SQL,

@@ -120,11 +120,36 @@ def citation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS_SQL = f"""
-WITH {_CHUNKS_SQL}, m AS (SELECT query, prefix, family || '|' || doc || '|' || section AS identity, min(chunk_id) AS first_seen, max(relevance) AS relevance, count(*) AS n_chunks FROM chunks GROUP BY 1, 2, 3)
+WITH {_CHUNKS_SQL}, m AS (SELECT query, prefix, family || '|' || doc || '|' || upper(section) AS identity, min(chunk_id) AS first_seen, max(relevance) AS relevance, count(*) AS n_chunks FROM chunks GROUP BY 1, 2, 3)
 SELECT query, identity, prefix || '-' || row_number() OVER (PARTITION BY query, prefix ORDER BY first_seen, identity) AS key, relevance, n_chunks FROM m
 """
 
 
+_SPELLINGS = ("Daily-Med", "daily_med", " LABEL ", "fda_label", "FDA", "PMC", "pub_med", "PMID", "My-Src", "")
+
+
+def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family, prefix, shown name and identity of documents under many spellings of sources, some without an id or a chunk."""
+    number = F.col("doc_id")
+    source = F.element_at(F.array(*map(F.lit, _SPELLINGS)), (number % 10 + 1).cast("int"))
+    doc, chunk = F.when(number % 3 == 0, F.concat(F.lit(" Doc"), number.cast("string"))), F.when(number % 3 == 1, F.concat(F.lit("Chunk"), number.cast("string")))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        names.source_family(source).alias("family"),
+        names.citation_prefix(source).alias("prefix"),
+        names.source_label(source).alias("label"),
+        names.citation_identity(source, doc, F.col("source"), chunk, F.col("text")).alias("identity"),
+    )
+
+
+_SOURCE_NAMES_SQL = """
+WITH s AS (SELECT *, (['dailymed', 'dailymed', 'dailymed', 'dailymed', 'fda', 'pubmed', 'pubmed', 'pmid', 'my-src', 'unknown'])[doc_id % 10 + 1] AS family FROM documents)
+SELECT doc_id, family, (['FDA', 'FDA', 'FDA', 'FDA', 'FDA', 'PUB', 'PUB', 'PUB', 'SRC', 'SRC'])[doc_id % 10 + 1] AS prefix,
+  (['FDA DailyMed', 'FDA DailyMed', 'FDA DailyMed', 'FDA DailyMed', 'FDA DailyMed', 'PubMed', 'PubMed', 'PubMed', 'MY-SRC', 'Source'])[doc_id % 10 + 1] AS label,
+  CASE doc_id % 3 WHEN 0 THEN family || '|doc' || doc_id || '|' || upper(trim(source)) WHEN 1 THEN family || '|chunk|Chunk' || doc_id ELSE family || '|text|' || left(sha1(coalesce(text, '')), 16) END AS identity FROM s
+"""
+
+
 def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys cited in each conversation's assistant turns against keys its user turns gave."""
     turns = table(spark, sf_dir, "conversations").withColumn("key", F.concat(F.lit("DB-"), (F.length("text") % 7).cast("string")))
@@ -208,6 +233,7 @@ QUERIES = {
     "q21_batched_lists": batched_lists,
     "q22_html_text": html_text,
     "q31_citation_keys": citation_keys,
+    "q91_source_names": source_names,
     "q32_citation_checks": citation_checks,
     "q33_display_order": display_order,
     "q41_dose_stripping": dose_stripping,
@@ -223,6 +249,7 @@ SQL = {
     "q21_batched_lists": _BATCH_SQL,
     "q22_html_text": _HTML_SQL,
     "q31_citation_keys": _KEYS_SQL,
+    "q91_source_names": _SOURCE_NAMES_SQL,
     "q32_citation_checks": _CHECKS_SQL,
     "q33_display_order": _DISPLAY_SQL,
     "q41_dose_stripping": _DOSE_SQL,

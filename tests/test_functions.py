@@ -15,7 +15,7 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize(
-    ("source", "family"), [("Daily-Med", "dailymed"), ("fda_label", "dailymed"), ("PMC", "pubmed"), (None, "unknown"), ("Blog", "blog")]
+    ("source", "family"), [("Daily-Med", "dailymed"), ("fda_label", "dailymed"), ("PMC", "pubmed"), (None, "unknown"), ("Blog", "blog"), (" My-Src ", "my-src"), ("fda", "fda"), ("pmid", "pmid")]
 )
 def test_source_family(spark, source, family):
     assert one(spark, names.source_family(F.lit(source).cast("string"))) == family
@@ -42,6 +42,24 @@ def test_identity_ignores_case_and_alias(spark):
     assert one(spark, a) == one(spark, b)
 
 
+def test_identity_keeps_the_case_of_chunk_ids(spark):
+    of = lambda chunk: one(spark, names.citation_identity(F.lit("my-src"), F.lit(None).cast("string"), F.lit("x"), F.lit(chunk)))
+    assert of("aB-1") == "my-src|chunk|aB-1" != of("ab-1")
+
+
+def adjusted(spark, base, *held):
+    names_ = ("renal_cleared", "hepatic_cleared", "anticoagulant", "pregnancy_risk", "renal_impaired", "renal_severe", "hepatic_impaired", "elderly", "pregnant", "dialysis", "high_inr", "prior_ignored")
+    severity, reasons = rules.adjusted_severity(F.lit(base), **{n: F.lit(n in held) for n in names_})
+    return one(spark, severity), [tuple(r) for r in one(spark, reasons)]
+
+
+def test_deltas_of_each_rule(spark):
+    assert adjusted(spark, 1) == (1, [])
+    assert adjusted(spark, 1, "renal_cleared", "renal_severe", "renal_impaired", "anticoagulant", "high_inr") == (3, [("renal_severe", 2)])
+    assert adjusted(spark, 0, "renal_cleared", "renal_impaired", "anticoagulant", "high_inr", "prior_ignored") == (3, [("renal_moderate", 1), ("high_inr_anticoagulant", 2), ("prior_ignored_alert", 1)])
+    assert adjusted(spark, 3, "pregnant", "pregnancy_risk", "elderly") == (3, [("elderly", 1), ("pregnancy_contraindicated", 0)])
+
+
 def test_snippet(spark):
     cut = one(spark, text.snippet(F.lit("x" * 500), 50))
     assert len(cut) <= 52 and cut.endswith("...")

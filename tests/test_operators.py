@@ -72,9 +72,9 @@ def test_queries_beyond_the_broadcast_limit_are_joined_by_blocks(spark, monkeypa
 
 
 def test_citations(spark):
-    chunks = spark.createDataFrame([("q", "DailyMed", "d1", "warnings", 1, 0.4), ("q", "faers", "f1", "", 2, 0.2), ("q", "fda", "D1", "Warnings", 3, 0.9)], "q string, source string, doc_id string, section string, chunk_id int, relevance double")
+    chunks = spark.createDataFrame([("q", "DailyMed", "d1", "warnings", 1, 0.4), ("q", "faers", "f1", "", 2, 0.2), ("q", "label", "D1", "Warnings", 3, 0.9)], "q string, source string, doc_id string, section string, chunk_id int, relevance double")
     assert rows(citations.citation_keys(chunks, "q", "chunk_id").select("key", "relevance", "n_chunks")) == [("FAERS-1", 0.2, 1), ("FDA-1", 0.9, 2)]
-    assert spark.range(1).select(citations.cited_keys(F.lit("see [FDA-1] and [PUB-2], [FDA-1]"))).first()[0] == ["FDA-1", "PUB-2"]
+    assert spark.range(1).select(citations.cited_keys(F.lit("see [FDA-1] and [PUB-2], [FDA-1], [ABC-1], [fda-2]"))).first()[0] == ["FDA-1", "PUB-2"]
 
 
 def test_metrics(spark):
