@@ -72,8 +72,8 @@ def _visited(parts: Column) -> Column:
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """One row a conversation: conv_id, formatted, loss_spans, attachments and expanded_tokens.
 
-    Turns follow each other by turn, then role, then content; repeated rows
-    are turns of their own. ``loss_spans`` are start and length, in code
+    Turns follow each other by turn, then role, then content before escaping;
+    repeated rows are turns of their own. ``loss_spans`` are start and length, in code
     points of ``formatted``, of each text part of an assistant's turn.
     ``attachments`` lists place, kind, reference and tokens of every other
     part; ``expanded_tokens`` sums them. ``parts`` is an array of type, text,
@@ -90,7 +90,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY))
     rows = rows.withColumn("head", head).withColumn("content", F.array_join(shown, ""))
     rows = rows.withColumn("whole", F.concat("head", "content", F.lit(END)))
-    order = [F.col("turn").asc_nulls_first(), "role", "content"]
+    order = [F.col("turn").asc_nulls_first(), "role", unescaped(F.col("content")), "content"]
     before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
     rows = rows.withColumn("start", (F.sum(F.length("whole").cast("long")).over(before) - F.length("whole") + F.length("head")).cast("long"))

@@ -32,6 +32,12 @@ def test_turns_and_loss_come_back(spark):
     assert by_id[None]["loss"] == ["é𐍈"] and len(by_id[3]["turns"]) == 2
 
 
+def test_ties_go_by_the_raw_text(spark):
+    texts = ["[Z", "[INST] a", "\\a", "\\\\", "<|b", "<z", "", "</s>"]
+    got = made(spark, [(1, 0, "user", t) for t in texts]).select(chat.read_back(F.col("formatted")).alias("turns")).first()["turns"]
+    assert [t["text"] for t in got] == sorted(texts)
+
+
 def test_attachments_keep_their_order_and_tokens(spark):
     df = spark.sql(
         """select 1 as conv_id, 0 as turn, 'assistant' as role, from_json('[{"type":"text","text":"see "},{"type":"image","ref":"a.png","units":2},{"type":"text","text":"and"},
