@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from apothecary.operators.prefix import running_sums
+from apothecary.operators.quantiles import exact_quantiles
+
 
 def impute_and_cap(df: DataFrame, columns: list[str], cap: float = 0.999) -> DataFrame:
     """Nulls and zeros become the median of the other values; then values over the ``cap`` quantile become that quantile."""
-    medians = df.agg(*[F.percentile(F.when(F.col(c) != 0, F.col(c)), 0.5).alias(f"_m_{c}") for c in columns])
-    filled = df.join(F.broadcast(medians)).withColumns({c: F.when(F.col(c).isNull() | (F.col(c) == 0), F.col(f"_m_{c}")).otherwise(F.col(c)) for c in columns}).drop(*[f"_m_{c}" for c in columns])
-    caps = filled.agg(*[F.percentile(c, cap).alias(f"_q_{c}") for c in columns])
-    return filled.join(F.broadcast(caps)).withColumns({c: F.least(F.col(c), F.col(f"_q_{c}")) for c in columns}).drop(*[f"_q_{c}" for c in columns])
+    known = {c: F.when(F.col(c) != 0, F.col(c)) for c in columns}
+    medians = exact_quantiles(df, {c: (known[c], 0.5) for c in columns}).first()
+    filled = df.withColumns({c: F.coalesce(known[c], F.lit(medians[c])) for c in columns})
+    caps = exact_quantiles(filled, {c: (c, cap) for c in columns}).first()
+    return filled.withColumns({c: F.least(F.col(c), F.lit(caps[c])) for c in columns})
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,13 +85,33 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return sliced.withColumn("_at", within).join(F.broadcast(before), "_slice").withColumn("place", F.col("_before") + F.col("_at")).drop("_slice", "_before", "_at")
 
 
+def _areas(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """n_positive, n_negative, auc and average_precision within ``by`` from the numbers ``p`` and ``q`` of positives and others at each distinct score ``s``."""
+    run = running_sums(counts, [F.desc("s")], {"tp": "p", "fp": "q"}, by)
+    totals = run.groupBy(*by).agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)).alias("_won"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"))
+    some = lambda c: F.nullif(F.col(c), F.lit(0))
+    return totals.select(*by, "n_positive", "n_negative", (F.col("_won") / (some("n_positive") * some("n_negative"))).alias("auc"), (F.col("_ap") / some("n_positive")).alias("average_precision"))
+
+
 def ranking_scores(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ROC area (ties by half), average precision and the two class counts, from counts per distinct score.
+    """ROC area (ties by half), average precision and the two class counts, from counts per distinct score; null where a class is missing."""
+    counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
+    return _areas(counts)
+
 
-    Only distinct scores are ordered, so the one window holds as many rows as there are scores.
+def one_versus_rest(df: DataFrame, label: str, scores: dict[int, str]) -> DataFrame:
+    """Of each class that occurs in ``label``: n_positive, n_negative, auc and average_precision of its score column against all other rows.
+
+    ``scores`` names a column for each class. A class without rows has no row
+    here; one that is the label of every row has a null area. Rows with a null
+    label take no part; a null score takes its row out of that class alone.
     """
-    counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("q").over(above))
-    totals = run.agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2)).alias("_won"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"))
-    return totals.select("n_positive", "n_negative", (F.col("_won") / (F.col("n_positive") * F.col("n_negative"))).alias("auc"), (F.col("_ap") / F.col("n_positive")).alias("average_precision"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(name).cast("double").alias("s")) for c, name in scores.items()]))
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_label"), each.alias("x")).select("_label", "x.*").where("s is not null")
+    counts = rows.groupBy("class", "s").agg(F.count_if(F.col("_label") == F.col("class")).alias("p"), F.count_if(F.col("_label") != F.col("class")).alias("q"))
+    return _areas(counts, ("class",)).where("n_positive > 0")
+
+
+def macro_scores(classes: DataFrame) -> DataFrame:
+    """One row from ``one_versus_rest``: the number of classes and the means of auc and average_precision over those that have both kinds of rows."""
+    return classes.where("auc is not null").agg(F.count("*").alias("n_classes"), F.avg("auc").alias("macro_auc"), F.avg("average_precision").alias("macro_average_precision"))

@@ -51,12 +51,12 @@ found AS (SELECT seq, drug, other, text, CAST(row_number() OVER (PARTITION BY se
 """
 
 
-def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drug_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.enzyme_profiles(cyp_mentions(spark, sf_dir), "drug", ["seq", "place"])
 
 
 def cyp_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiles(spark, sf_dir).select("drug", *[F.array_join(r, ",").alias(r) for r in cyp.ROLES], "snippet")
+    return drug_profiles(spark, sf_dir).select("drug", *[F.array_join(r, ",").alias(r) for r in cyp.ROLES], "snippet")
 
 
 _PROFILE_SQL = f"""{_FOUND_SQL}, prof AS (SELECT lower(trim(drug)) AS drug, {", ".join(f"coalesce(list_sort(list(DISTINCT enzyme) FILTER (role = '{r}')), []) AS {r}" for r in cyp.ROLES)}, arg_min(snippet, {{'s': seq, 'p': place}}) AS snippet FROM found GROUP BY 1)
@@ -64,17 +64,18 @@ _PROFILE_SQL = f"""{_FOUND_SQL}, prof AS (SELECT lower(trim(drug)) AS drug, {",
 
 
 def cyp_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.pair_figures(pair_cooccurrence(spark, sf_dir).select("drug_a", "drug_b"), _profiles(spark, sf_dir))
+    return profiles.pair_figures(pair_cooccurrence(spark, sf_dir).select("drug_a", "drug_b"), drug_profiles(spark, sf_dir))
 
 
-def _pair_features_sql() -> str:
+def enzyme_sql(pairs: str = SIGNALS["q01_pair_cooccurrence"]) -> str:
+    """SQL of the twelve enzyme figures over the pairs that ``pairs`` selects."""
     lists = ", ".join(f"coalesce({s}.{r}, []) AS {s}_{r}" for s in "ab" for r in cyp.ROLES)
     every = f"list_distinct(flatten([{', '.join(f'{s}_{r}' for s in 'ab' for r in cyp.ROLES)}]))"
     crossed = lambda r: f"CAST(len(list_distinct(list_concat(list_intersect(a_{r}, b_substrate), list_intersect(b_{r}, a_substrate)))) AS INTEGER)"
     flags = ", ".join(f"CAST(list_contains(e, '{x}') AS INTEGER) AS {x.lower()}_involved" for x in cyp.FLAGGED)
     risk = "CASE x " + " ".join(f"WHEN '{e}' THEN {w}" for e, w in cyp.RISK.items()) + " ELSE 0 END"
     return f"""
-WITH {_PROFILE_SQL}, s AS ({SIGNALS["q01_pair_cooccurrence"]}),
+WITH {_PROFILE_SQL}, s AS ({pairs}),
 j AS (SELECT drug_a, drug_b, {lists}, coalesce(a.snippet, b.snippet, '') AS cyp_snippet FROM s LEFT JOIN prof a ON a.drug = lower(drug_a) LEFT JOIN prof b ON b.drug = lower(drug_b)),
 k AS (SELECT *, {every} AS e FROM j)
 SELECT drug_a, drug_b, CAST(len(list_intersect(a_substrate, b_substrate)) AS INTEGER) AS shared_cyp_count, {crossed("inhibitor")} AS inhibitor_substrate_pairs, {crossed("inducer")} AS inducer_substrate_pairs, {flags},
@@ -95,7 +96,7 @@ SELECT seq, place, enzyme, role, CASE WHEN CASE WHEN pa > 0 THEN abs(pa - pe) EL
 
 def cyp_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each role the nine enzymes that most drugs have."""
-    rows = _profiles(spark, sf_dir).select("drug", F.explode(F.map_from_arrays(F.array(*map(F.lit, cyp.ROLES)), F.array(*cyp.ROLES))).alias("role", "enzymes"))
+    rows = drug_profiles(spark, sf_dir).select("drug", F.explode(F.map_from_arrays(F.array(*map(F.lit, cyp.ROLES)), F.array(*cyp.ROLES))).alias("role", "enzymes"))
     counts = rows.select("role", F.explode("enzymes").alias("enzyme")).groupBy("role", "enzyme").agg(F.count("*").alias("n_drugs"))
     return dedup.top_k(counts, ["role"], [F.desc("n_drugs"), F.col("enzyme")], 9)
 
@@ -339,36 +340,47 @@ SELECT lang, CAST(n AS INTEGER) AS n_blocks, ids AS doc_ids, md5(prompt) AS prom
 
 def molecular_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of both sides of each co-occurring pair: weights, binding, half-lives, signals, flags and completeness."""
-    parts = table(spark, sf_dir, "part")
-    first = dedup.keep_first(parts, [F.lower("p_name")], [F.col("p_partkey")])
-    props = profiles_of_parts(first)
+    return features.paired_figures(pair_cooccurrence(spark, sf_dir), drug_properties(spark, sf_dir))
+
+
+#: Kinds of drugs: each part gets one.
+KINDS = ("Small Molecule", "biotech", "small molecule", "SMALL MOLECULE", "")
+
+
+def drug_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties by lower-case name, the first part's of each."""
+    props = profiles_of_parts(dedup.keep_first(table(spark, sf_dir, "part"), [F.lower("p_name")], [F.col("p_partkey")]))
     sold = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("known", F.lit(1))
-    props = props.join(sold, "p_partkey", "left").withColumn("known", F.coalesce("known", F.lit(0))).drop("p_partkey")
-    return features.paired_figures(pair_cooccurrence(spark, sf_dir), props)
+    return props.join(sold, "p_partkey", "left").withColumn("known", F.coalesce("known", F.lit(0))).drop("p_partkey")
 
 
 def profiles_of_parts(parts: DataFrame) -> DataFrame:
     from apothecary.functions import numbers
 
     life, bound = features.given(features.LIVES), features.given(features.BOUNDS)
-    return parts.select("p_partkey", F.lower("p_name").alias("drug"), F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("mw"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") - 25.0).alias("logp"), numbers.protein_binding(bound).alias("binding"), numbers.half_life_hours(life).alias("life"), (F.col("p_size") > 40).cast("int").alias("boxed"))
+    return parts.select("p_partkey", F.lower("p_name").alias("drug"), F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice")).alias("mw"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") - 25.0).alias("logp"), numbers.protein_binding(bound).alias("binding"), numbers.half_life_hours(life).alias("life"), F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 5 + 1).cast("int")).alias("kind"), (F.col("p_size") > 40).cast("int").alias("boxed"), (F.col("p_size") % 3 == 0).cast("int").alias("interacts"))
 
 
-def _molecular_sql() -> str:
+def molecular_sql(pairs: str = SIGNALS["q01_pair_cooccurrence"]) -> str:
+    """SQL of the thirty figures over the pairs and signals that ``pairs`` selects."""
     inner = features.SQL["q46_text_to_number"]
-    side = lambda s: f"{s}.mw AS mw_{s}, {s}.logp AS logp_{s}, {s}.binding AS binding_{s}, {s}.life AS life_{s}, coalesce({s}.boxed, 0) AS boxed_{s}, coalesce({s}.known, 0) AS known_{s}"
-    gap = lambda c: f"coalesce(round(abs({c}_a - {c}_b), 4), 0) AS {c}_diff"
-    ratio = lambda c: f"coalesce(round({c}_a / nullif({c}_b, 0), 4), 1) AS {c}_ratio"
+    side = lambda s: ", ".join(f"{s}.{c} AS {c}_{s}" for c in ("mw", "logp", "binding", "life", "kind")) + "".join(f", coalesce({s}.{c}, 0) AS {c}_{s}" for c in ("boxed", "interacts", "known"))
+    gap = lambda c: f"CAST(coalesce(round(abs({c}_a - {c}_b), 4), 0) AS DOUBLE) AS {c}_diff"
+    ratio = lambda c: f"CAST(coalesce(round({c}_a / nullif({c}_b, 0), 4), 1) AS DOUBLE) AS {c}_ratio"
     count = " + ".join(f"CASE WHEN {c}_{s} IS NULL THEN 0 ELSE 1 END" for c in ("mw", "logp", "binding", "life") for s in "ab")
+    kind = lambda s, w: f"coalesce(contains(lower(kind_{s}), '{w}'), false)"
     return f"""
-WITH n AS ({inner}), s AS ({SIGNALS["q01_pair_cooccurrence"]}),
-f AS (SELECT p_partkey, lower(p_name) AS drug, CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS mw, CASE WHEN p_size % 5 <> 0 THEN p_size - 25.0 END AS logp, CAST(p_size > 40 AS INTEGER) AS boxed, CAST(p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AS INTEGER) AS known FROM part
+WITH n AS ({inner}), s AS ({pairs}),
+f AS (SELECT p_partkey, lower(p_name) AS drug, CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS mw, CASE WHEN p_size % 5 <> 0 THEN p_size - 25.0 END AS logp, ({list(KINDS)!r})[p_partkey % 5 + 1] AS kind, CAST(p_size > 40 AS INTEGER) AS boxed, CAST(p_size % 3 = 0 AS INTEGER) AS interacts,
+  CAST(p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AS INTEGER) AS known FROM part
   QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1),
 d AS (SELECT f.*, n.bound AS binding, n.hours AS life FROM f JOIN n USING (p_partkey)),
-j AS (SELECT s.*, {side("a")}, {side("b")} FROM s LEFT JOIN d a ON a.drug = lower(drug_a) LEFT JOIN d b ON b.drug = lower(drug_b))
-SELECT drug_a, drug_b, {", ".join(f"CAST(coalesce({c}_{s}, 0) AS DOUBLE) AS {c}_{s}" for c in ("mw", "logp", "binding", "life") for s in "ab")}, CAST({gap("mw").replace(" AS ", " AS DOUBLE) AS ")}, CAST({gap("logp").replace(" AS ", " AS DOUBLE) AS ")}, CAST({gap("binding").replace(" AS ", " AS DOUBLE) AS ")},
-  CAST({ratio("mw").replace(" AS ", " AS DOUBLE) AS ")}, CAST({ratio("logp").replace(" AS ", " AS DOUBLE) AS ")}, CAST({ratio("life").replace(" AS ", " AS DOUBLE) AS ")},
-  report_count, death_count, max_severity, round(death_count / report_count, 4) AS death_rate, round(ln(1 + report_count), 4) AS signal_strength, boxed_a, boxed_b, greatest(boxed_a, boxed_b) AS either_boxed, known_a, known_b, round(({count}) / 8, 3) AS completeness FROM j
+j AS (SELECT s.*, {side("a")}, {side("b")} FROM s LEFT JOIN d a ON a.drug = lower(trim(drug_a)) LEFT JOIN d b ON b.drug = lower(trim(drug_b)))
+SELECT drug_a, drug_b, {", ".join(f"CAST(coalesce({c}_{s}, 0) AS DOUBLE) AS {c}_{s}" for c in ("mw", "logp", "binding", "life") for s in "ab")},
+  {", ".join(map(gap, ("mw", "logp", "binding")))}, {", ".join(map(ratio, ("mw", "logp", "life")))},
+  CAST({kind("a", "small")} AND {kind("b", "small")} AS INTEGER) AS both_small, CAST({kind("a", "biotech")} OR {kind("b", "biotech")} AS INTEGER) AS one_biologic,
+  coalesce(report_count, 0) AS report_count, coalesce(death_count, 0) AS death_count, coalesce(max_severity, 0) AS max_severity, coalesce(round(death_count / report_count, 4), 0) AS death_rate, coalesce(round(ln(1 + report_count), 4), 0) AS signal_strength, CAST(report_count IS NOT NULL AS INTEGER) AS pair_seen,
+  boxed_a, boxed_b, greatest(boxed_a, boxed_b) AS either_boxed, interacts_a, interacts_b, known_a, known_b, round(({count}) / 8, 3) AS completeness FROM j
 """
 
 
@@ -394,7 +406,7 @@ QUERIES = {
 SQL = {
     "q59_cyp_mentions": f"WITH {_FOUND_SQL} SELECT seq, drug, place, enzyme, role, snippet FROM found",
     "q60_cyp_profiles": f"WITH {_PROFILE_SQL} SELECT drug, {', '.join(f'''array_to_string({r}, ',') AS {r}''' for r in cyp.ROLES)}, snippet FROM prof",
-    "q61_cyp_pair_features": _pair_features_sql(),
+    "q61_cyp_pair_features": enzyme_sql(),
     "q62_cyp_attribution": _ATTRIBUTION_SQL,
     "q63_cyp_coverage": _COVERED_SQL,
     "q64_pair_severity": _severity_sql(),
@@ -408,5 +420,5 @@ SQL = {
     "q72_overall_scores": _OVERALL_SQL,
     "q73_patient_ages": "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2024-06-30') // 365 AS INTEGER) AS age FROM orders",
     "q74_context_blocks": _CONTEXT_SQL,
-    "q75_molecular_features": _molecular_sql(),
+    "q75_molecular_features": molecular_sql(),
 }

@@ -53,22 +53,32 @@ FROM s LEFT JOIN p a ON a.p_name = drug_a LEFT JOIN p b ON b.p_name = drug_b
 
 
 def paired_figures(pairs: DataFrame, props: DataFrame) -> DataFrame:
-    """Pairs with signal and both sides' properties: gaps and ratios to four places, zeros (ratios: one) where a side is unknown."""
+    """The thirty figures of each pair, from its signal and both sides' properties.
+
+    Gaps and ratios are to four places; a side without a figure has 0 (ratios
+    1), a side without properties 0 in every flag. ``both_small`` and
+    ``one_biologic`` tell the kinds of the two drugs. A pair with a null
+    ``report_count`` was never reported: its signal is 0 and ``pair_seen`` 0.
+    """
     figures = ("mw", "logp", "binding", "life")
     for side in "ab":
-        renamed = props.select(F.col("drug").alias("_key"), *[F.col(c).alias(f"_{c}_{side}") for c in (*figures, "boxed", "known")])
-        pairs = pairs.join(renamed, F.lower(f"drug_{side}") == F.col("_key"), "left").drop("_key")
+        renamed = props.select(F.col("drug").alias("_key"), *[F.col(c).alias(f"_{c}_{side}") for c in (*figures, "kind", "boxed", "interacts", "known")])
+        pairs = pairs.join(renamed, F.lower(F.trim(f"drug_{side}")) == F.col("_key"), "left").drop("_key")
     a, b = ({c: F.col(f"_{c}_{side}") for c in figures} for side in "ab")
     filled = lambda c, value=0.0: F.coalesce(c.cast("double"), F.lit(value))
     flag = lambda c: F.coalesce(F.col(c), F.lit(0))
+    of_kind = lambda side, word: F.coalesce(F.contains(F.lower(f"_kind_{side}"), F.lit(word)), F.lit(False))
+    reports = F.nullif(F.col("report_count"), F.lit(0))
     present = sum((F.col(f"_{c}_{side}").isNotNull().cast("int") for c in figures for side in "ab"), F.lit(0))
     return pairs.select(
         "drug_a", "drug_b",
         *[filled(F.col(f"_{c}_{side}")).alias(f"{c}_{side}") for c in figures for side in "ab"],
         *[filled(F.round(numbers.gap(a[c], b[c]), 4)).alias(f"{c}_diff") for c in ("mw", "logp", "binding")],
         *[filled(F.round(numbers.ratio(a[c], b[c]), 4), 1.0).alias(f"{c}_ratio") for c in ("mw", "logp", "life")],
-        "report_count", "death_count", "max_severity", F.round(F.col("death_count") / F.col("report_count"), 4).alias("death_rate"), F.round(F.log1p("report_count"), 4).alias("signal_strength"),
-        flag("_boxed_a").alias("boxed_a"), flag("_boxed_b").alias("boxed_b"), F.greatest(flag("_boxed_a"), flag("_boxed_b")).alias("either_boxed"), flag("_known_a").alias("known_a"), flag("_known_b").alias("known_b"),
+        (of_kind("a", "small") & of_kind("b", "small")).cast("int").alias("both_small"), (of_kind("a", "biotech") | of_kind("b", "biotech")).cast("int").alias("one_biologic"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("report_count", "death_count", "max_severity")],
+        filled(F.round(F.col("death_count") / reports, 4)).alias("death_rate"), filled(F.round(F.log1p("report_count"), 4)).alias("signal_strength"), F.col("report_count").isNotNull().cast("int").alias("pair_seen"),
+        flag("_boxed_a").alias("boxed_a"), flag("_boxed_b").alias("boxed_b"), F.greatest(flag("_boxed_a"), flag("_boxed_b")).alias("either_boxed"), flag("_interacts_a").alias("interacts_a"), flag("_interacts_b").alias("interacts_b"), flag("_known_a").alias("known_a"), flag("_known_b").alias("known_b"),
         F.round(present / 8, 3).alias("completeness"),
     )
 

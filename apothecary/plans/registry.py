@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apothecary.plans import clinical, features, records, rules, search, signals, texts
+from apothecary.plans import clinical, features, matrix, records, rules, search, signals, texts
 
-_MODULES = (signals, texts, search, rules, features, clinical, records)
+_MODULES = (signals, texts, search, rules, features, clinical, records, matrix)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apothecary.functions import names, text
 from apothecary.operators import citations, dedup
+from apothecary.operators.quantiles import exact_quantiles
 from apothecary.sources.tables import table
 
 
@@ -62,10 +63,11 @@ _DEDUP_SQL = "SELECT doc_id, lang, source FROM documents QUALIFY row_number() OV
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("text").cast("double")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count("*").alias("n_docs"), F.count_if(F.col("lang") == "en").alias("n_english"), F.min(n).alias("least"), F.percentile(n, 0.25).alias("q25"), F.percentile(n, 0.5).alias("q50"), F.percentile(n, 0.75).alias("q75"), F.max(n).alias("most"), F.sum(n.cast("long")).alias("total")
-    )
+    rows = table(spark, sf_dir, "documents").select("source", "lang", F.length("text").cast("double").alias("n"))
+    sums = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("lang") == "en").alias("n_english"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum(F.col("n").cast("long")).alias("total"))
+    cuts = exact_quantiles(rows, {"q25": ("n", 0.25), "q50": ("n", 0.5), "q75": ("n", 0.75)}, by=("source",)).withColumnRenamed("source", "_source")
+    joined = sums.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select("source", "n_docs", "n_english", "least", "q25", "q50", "q75", "most", "total")
 
 
 _STATS_SQL = """
