@@ -10,11 +10,11 @@ third of all pages sends a few partial wrappers only, which are aligned with
 each other in turn. Every slot carries the number of different pages that
 hold it; exact copies, and pages that differ in their menus only, are one.
 
-The wrapper also knows which texts of its slots are fixed (the same text in
-the same slot on most of the host's different pages, inside an article too)
-and which slots hold links rather than text. A page is then read with its
-host's wrapper: what lies in the wrapper's main part counts, fixed text and
-slots of links do not.
+A page is read with its host's wrapper. What lies inside an article is the
+article's, whatever other pages say. Of a page without one, the wrapper tells
+the template: text that it holds as a mandatory, constant part beside parts
+that vary, and repeated groups of nothing but links. Menus, footers and the
+like are told by their tags and class words everywhere.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -68,30 +68,30 @@ def _hash(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
-def blocks(page: str, links: list[int] | None = None, title: list[str] | None = None) -> tuple[list[Node], list[tuple[str, str]]]:
+def blocks(page: str, title: list[str] | None = None) -> tuple[list[Node], list[tuple[str, str]]]:
     """A page's tree of block elements, and its text blocks in order, each with the path of its slot.
 
-    ``links`` takes how many letters of each block lie inside links, ``title`` the page's title.
+    ``title`` takes the page's title.
 
     Inline tags belong to the text around them; a line break is white space.
+    A block that lies inside links as a whole hangs from an element ``a``.
     Unclosed paragraphs, items and cells end where the next begins. All open
     elements are kept; those below the depth of the tree hang, each as one
     element that tells menu, article and other text apart, from the deepest.
     """
     root: list = ["", "1", []]
     stack, names, opened, texts, run, at = [root], [""], Counter(), [], [], 0
-    linking, linked = False, 0
+    linking, plain = False, False
 
     def end_text() -> None:
-        nonlocal linked
-        if links is not None and (own := "".join(run).strip()):
-            links.append(min(linked, len(own)))
-        linked = 0
+        nonlocal plain, linking
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
-            stack[-1][2].append(["#", "1", _hash(text), 1])
-            texts.append(("/".join(n[0] for n in (stack[1:] if len(stack) <= _DEEPEST else [*stack[1:_DEEPEST], stack[-1]])), text))
+            slot, path = ["#", "1", _hash(text), 1], [n[0] for n in (stack[1:] if len(stack) <= _DEEPEST else [*stack[1:_DEEPEST], stack[-1]])]
+            stack[-1][2].append(slot if plain else ["a", "1", [slot]])
+            texts.append(("/".join(path if plain else [*path, "a"]), text))
+        plain = linking = False  # a link left open ends with its block
 
     def end_element() -> None:
         stack.pop()
@@ -100,7 +100,7 @@ def blocks(page: str, links: list[int] | None = None, title: list[str] | None =
     for match in _TOKEN.finditer(page):
         if match.start() > at:
             run.append(page[at : match.start()])
-            linked += (match.start() - at) * linking
+            plain = plain or (not linking and not run[-1].isspace())
         at = match.end()
         raw, close, name = match.group(1), match.group(2), (match.group(3) or "").lower()
         if raw or not name:
@@ -111,7 +111,7 @@ def blocks(page: str, links: list[int] | None = None, title: list[str] | None =
             continue
         if name in _INLINE:
             if name == "a":
-                linking = not close
+                linking = not close and "href" in match.group(4).lower()
             continue
         if name in _VOID:
             if name == "hr":
@@ -140,6 +140,7 @@ def blocks(page: str, links: list[int] | None = None, title: list[str] | None =
             opened[name] += 1
     if at < len(page):
         run.append(page[at:])
+        plain = plain or (not linking and not run[-1].isspace())
     end_text()
     return root[2], texts
 
@@ -232,14 +233,6 @@ def expression(nodes: list[Node]) -> str:
     return "".join(out)
 
 
-def _slots(nodes: list[Node], path: str = "") -> Iterator[tuple[str, int | None, int]]:
-    for tag, _, inner, *pages in nodes:
-        if tag == "#":
-            yield path, inner, pages[0]
-        else:
-            yield from _slots(inner, f"{path}/{tag}" if path else tag)
-
-
 def _uncounted(nodes: list[Node]) -> list[Node]:
     """The same for a page whose text is counted already."""
     return [[*node[:3], 0] if node[0] == "#" else [node[0], node[1], _uncounted(node[2])] for node in nodes]
@@ -267,14 +260,51 @@ def _kind(path: list[str]) -> str:
     return "aside" if _aside(path) else "main" if _within(path) else "div"
 
 
-def main_slots(wrapper: list[Node]) -> tuple[set[str], set[str]]:
-    """Paths of a wrapper's slots that may hold main text, inside an article and outside one."""
-    within, outside = set(), set()
-    for path, _, _ in _slots(wrapper):
-        parts = path.split("/") if path else []
-        if not _aside(parts):
-            (within if _within(parts) else outside).add(path)
-    return within, outside
+@lru_cache(maxsize=20_000)
+def _part(path: str) -> str:
+    """``aside``, ``main`` or ``div`` for a slot's path."""
+    return _kind(path.split("/") if path else [])
+
+
+def template(wrapper: list[Node]) -> tuple[set[tuple[str, int]], set[str]]:
+    """What a wrapper takes for a host's template on pages without an article: fixed texts, by path and hash, and paths of links.
+
+    A text is fixed if it is constant and neither it nor an element around it
+    is optional, in a wrapper that has text beside it that varies or is
+    optional. A constant heading stays if the next text that is no heading
+    varies or stays itself. Links go if they stand in a repeated group with
+    nothing but links in it; a path that occurs outside such a group stays.
+    """
+    slots: list[tuple[str, int | None, bool, bool]] = []  # path, constant text, mandatory, of a repeated group of links
+
+    def only_links(node: Node) -> bool:
+        return node[0] == "a" or (node[0] != "#" and all(map(only_links, node[2])))
+
+    def walk(nodes: list[Node], path: str, mandatory: bool, links: bool) -> None:
+        for node in nodes:
+            always = mandatory and node[1] in "1+"
+            if node[0] == "#":
+                if _part(path) == "div":
+                    slots.append((path, node[2], always, links))
+            else:
+                walk(node[2], f"{path}/{node[0]}" if path else node[0], always, links or (node[1] in "+*" and only_links(node)))
+
+    walk(wrapper, "", True, False)
+    links = {path for path, *_, linked in slots if linked} - {path for path, *_, linked in slots if not linked}
+    fixed: set[tuple[str, int]] = set()
+    kept = False  # whether the next text that is no heading stays
+    for path, text, mandatory, _ in reversed(slots):
+        if path in links:
+            continue
+        goes = mandatory and text is not None
+        if not any(e.split(".")[0] in _HEADINGS for e in path.split("/")):
+            kept = not goes
+        elif goes and kept:
+            continue
+        if goes:
+            fixed.add((path, text))
+    varies = any(path not in links and not (mandatory and text is not None) for path, text, mandatory, _ in slots)
+    return (fixed, links) if varies else (set(), set())
 
 
 def _slot(path: str, text: str = "") -> int:
@@ -282,16 +312,10 @@ def _slot(path: str, text: str = "") -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode("utf-8", "replace")) - 2**63
 
 
-def page_text(texts: list[tuple[str, str]], within: set[str], outside: set[str], left_out: set[int]) -> str:
-    """Blocks of the main part: those inside the article if the page has one, the rest otherwise.
-
-    ``left_out`` names texts that are fixed in the host's wrapper, and slots of
-    links, which count outside an article only.
-    """
-    own = [(path, text) for path, text in texts if path in within or path in outside]
-    own = [(path, text) for path, text in own if _slot(path, text) not in left_out]
-    article = [text for path, text in own if path in within]
-    return "\n\n".join(article or [text for path, text in own if path in outside and _slot(path) not in left_out])
+def page_text(texts: list[tuple[str, str]], fixed: set[tuple[str, int]], links: set[str]) -> str:
+    """Blocks of the main part: all inside the article if the page has one, else the rest but the host's template."""
+    article = [text for path, text in texts if _part(path) == "main"]
+    return "\n\n".join(article or [text for path, text in texts if _part(path) == "div" and path not in links and (path, _hash(text)) not in fixed])
 
 
 def _body(texts: list[tuple[str, str]]) -> int:
@@ -300,41 +324,10 @@ def _body(texts: list[tuple[str, str]]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join(main).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def slot_texts(pages: DataFrame, least_pages: int = 3) -> DataFrame:
-    """Of each host (by its hash ``host_key``) the array ``left_out``: its fixed texts and its slots of links.
-
-    A text is fixed if it stands in one slot on ``least_pages`` different pages
-    and more, and on most of the host's different pages. Pages of one title
-    and headline are versions of one page here, so what versions share stays;
-    pages without either go by their text. A slot holds links if most of its
-    letters, over all pages of the host, lie inside links.
-    """
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for batch in batches for p in slices(batch, "html")):
-            rows: dict[tuple[int, int, int], list[int]] = {}
-            for host, page in zip(part.column("host_key").to_pylist(), part.column("html").to_pylist(), strict=True):
-                links: list[int] = []
-                title: list[str] = []
-                _, texts = blocks(page or "", links, title)
-                headline = [t for path, t in texts if path.rsplit("/", 1)[-1].split(".")[0] == "h1"][:1]
-                key = _slot("\n".join(title), "".join(headline)) if title or headline else _body(texts)
-                rows.setdefault((host, 0, key), [0, 0])
-                for (path, text), n in zip(texts, links, strict=True):
-                    rows.setdefault((host, _slot(path, text), key), [0, 0])
-                    sums = rows.setdefault((host, _slot(path), 0), [0, 0])
-                    sums[0] += len(text)
-                    sums[1] += n
-            columns = np.array([(*k, *v) for k, v in rows.items()], dtype=np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.T], names=["host_key", "slot", "page", "letters", "linked"])
-
-    rows = pages.select("host_key", "html").mapInArrow(seen, "host_key long, slot long, page long, letters long, linked long")
-    rows = rows.groupBy("host_key", "slot", "page").agg(F.sum("letters").alias("letters"), F.sum("linked").alias("linked"))
-    counts = stored(rows.groupBy("host_key", "slot").agg(F.count("*").alias("pages"), F.sum("letters").alias("letters"), F.sum("linked").alias("linked")).where((F.col("pages") >= least_pages) | (F.col("linked") > 0) | (F.col("slot") == 0)))
-    bodies = counts.where("slot = 0").select("host_key", F.col("pages").alias("bodies"))
-    fixed = counts.where((F.col("slot") != 0) & (F.col("pages") >= least_pages)).join(bodies, "host_key").where(F.col("pages") * 2 > F.col("bodies")).select("host_key", "slot")
-    links = counts.where((F.col("linked") * 2 > F.col("letters")) & (F.col("slot") != 0)).select("host_key", "slot")
-    return fixed.union(links).groupBy("host_key").agg(F.collect_set("slot").alias("left_out"))
+def _page_key(texts: list[tuple[str, str]], title: list[str]) -> int:
+    """Pages of one key count as one: those of one title and headline, which are versions of one page; without either, those of one text."""
+    headline = [t for path, t in texts if path.removesuffix("/a").rsplit("/", 1)[-1].split(".")[0] == "h1"][:1]
+    return _slot("\n".join(title), "".join(headline)) if title or headline else _body(texts)
 
 
 def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "html") -> DataFrame:
@@ -350,8 +343,9 @@ def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "ht
         found: dict = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree, texts = blocks(page or "")
-                key = (host, _body(texts), json.dumps(generalise(tree), separators=(",", ":")))
+                title: list[str] = []
+                tree, texts = blocks(page or "", title)
+                key = (host, _page_key(texts, title), json.dumps(generalise(tree), separators=(",", ":")))
                 found[key] = found.get(key, 0) + 1
             if len(found) > 5000:
                 yield packed([(*k, n) for k, n in found.items()], names, types)
@@ -409,26 +403,28 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Blocks are joined by an empty line, white space inside a block is one
     space, character references are decoded. Null or empty HTML gives an
     empty text; pages without a host (null or odd urls) share a wrapper;
-    repeated rows stay; an empty table gives an empty result. No text is
+    repeated rows stay; an empty table gives an empty result. Text inside an
+    article always stays, but for asides by tag or class word. On a page
+    without an article, what ``template`` says of its host's wrapper goes; a
+    host with one page only has no template. No text is
     capped: elements nested over 150 deep and rows of over 64 siblings only
     make the wrapper coarser (their order in it is not kept), and hosts with
     any number of different pages are folded in parts.
     """
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")), F.lit("-"))
-    pages = chosen(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host).withColumn("host_key", F.xxhash64("host"))
-    wrappers = infer_wrappers(pages).withColumn("host_key", F.xxhash64("host"))
-    wrappers = stored(wrappers.join(slot_texts(pages), "host_key", "left").select("host", "wrapper", "pages", "left_out"))
+    pages = chosen(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host)
+    wrappers = stored(infer_wrappers(pages))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             for part in slices(batch, "html"):
                 out = []
-                for page, host, wrapper, left_out in zip(*(part.column(c).to_pylist() for c in ("html", "host", "wrapper", "left_out")), strict=True):
+                for page, host, wrapper, bodies in zip(*(part.column(c).to_pylist() for c in ("html", "host", "wrapper", "bodies")), strict=True):
                     if host not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[host] = *main_slots(json.loads(wrapper)), set(left_out or ())
+                        known[host] = template(json.loads(wrapper)) if bodies > 1 else (set(), set())
                     out.append(page_text(blocks(page or "")[1], *known[host]))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -438,5 +434,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     # The stored table is compressed and not yet salted, so its size must not choose a broadcast.
     salted = wrappers.join(F.broadcast(frequent), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts", "pages")
     pages = pages.join(F.broadcast(frequent), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
-    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(salted.hint("merge"), ["host", "salt"]).select("page_id", "url", "html", "host", "wrapper", "left_out")
+    joined = pages.withColumn("page_id", F.col("page_id").cast("long")).join(salted.hint("merge"), ["host", "salt"]).select("page_id", "url", "html", "host", "wrapper", "bodies")
     return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")

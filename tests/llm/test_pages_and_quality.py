@@ -72,12 +72,39 @@ def test_counts_of_slots_are_counts_of_different_pages(spark):
     assert (row["pages"], row["bodies"]) == (60, 7) and json.loads(row["wrapper"])[0] == ["p", "1", [["#", "1", zlib.crc32(b"Same"), 7]]]
 
 
-def test_fixed_text_inside_an_article_goes_by_the_wrapper(spark):
-    """One page alone keeps its byline; beside seven others of its host the same page loses it."""
-    page = "<body><article><h1>Story {n}</h1><p>Published by the team</p><p>Text {n}</p><div>Share this story with friends</div></article></body>"
-    got = text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(8)] + [(100, "http://lone/", page.format(n=0))])
-    assert got[0] == "Story 0\n\nText 0"
-    assert got[100] == "Story 0\n\nPublished by the team\n\nText 0\n\nShare this story with friends"
+def test_fixed_text_inside_an_article_stays(spark):
+    """Nothing of an article is dropped, however many pages of a host share it."""
+    page = "<body><article><h1>Dish {n}</h1><h2>Ingredients</h2><p>Eggs {n}</p><h2>Method</h2><p>Stir {n}</p><p>Serves four.</p></article></body>"
+    got = text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(8)])
+    assert got[3] == "Dish 3\n\nIngredients\n\nEggs 3\n\nMethod\n\nStir 3\n\nServes four."
+
+
+def test_fixed_headings_outside_an_article_stay_before_text_that_varies(spark):
+    page = "<body><div><span>Welcome back</span></div><h1>Dish {n}</h1><h2>Ingredients</h2><p>Eggs {n}</p><h2>Method</h2><p>Stir {n}</p><section><h2>About us</h2><div>We cook daily</div></section></body>"
+    got = text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(8)])
+    assert got[3] == "Dish 3\n\nIngredients\n\nEggs 3\n\nMethod\n\nStir 3"
+
+
+def test_glossaries_and_single_links_keep_their_text(spark):
+    page = "<body><p><a href=/{n}>Word {n} explained</a></p><p>Plain {n}</p></body>"
+    assert text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(8)])[3] == "Word 3 explained\n\nPlain 3"
+    anchors = "<body><p><a name=x>One {n}</p><p>Two {n}</p><ul><li><a href=/>Open {n}<li>Three {n}</ul></body>"
+    assert text_of(spark, [(n, f"http://h/{n}", anchors.format(n=n)) for n in range(8)])[3] == "One 3\n\nTwo 3\n\nOpen 3\n\nThree 3"
+    single = "<body><div><a href=/{n}>Story {n}</a></div><p>Plain {n} <a href=/>more</a></p></body>"
+    assert text_of(spark, [(n, f"http://h/{n}", single.format(n=n)) for n in range(8)])[3] == "Story 3\n\nPlain 3 more"
+
+
+def test_only_aligned_pages_make_a_template(spark):
+    """A page's own tree tells nothing; aligned with another page it does, so the wrapper decides."""
+    page = "<body><div>Welcome back</div><ul><li><a href=/i>In {n}</a><li><a href=/o>Out {n}</a></ul><p>Story {n}</p></body>"
+    trees = [html_wrappers.generalise(html_wrappers.blocks(page.format(n=n))[0]) for n in range(3)]
+    assert all(html_wrappers.template(tree)[0] == set() for tree in trees)
+    fixed, links = html_wrappers.template(html_wrappers.align(html_wrappers.align(*trees[:2]), trees[2]))
+    assert fixed == {("body/div", zlib.crc32(b"Welcome back"))} and links == {"body/ul/li/a"}
+    optional = html_wrappers.generalise(html_wrappers.blocks("<body><p>Story</p></body>")[0])
+    assert html_wrappers.template(html_wrappers.align(trees[0], optional))[0] == set()
+    got = text_of(spark, [(n, f"http://h/{n}", page.format(n=n)) for n in range(3)] + [(9, "http://lone/", page.format(n=9))])
+    assert got[1] == "Story 1" and got[9] == "Welcome back\n\nIn 9\n\nOut 9\n\nStory 9"
 
 
 def test_menus_without_any_mark_are_slots_of_links(spark):
