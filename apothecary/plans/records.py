@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apothecary.functions import records
 from apothecary.operators import lookups
+from apothecary.sources import xml
 from apothecary.sources.tables import table
 
 
@@ -226,7 +227,26 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CONTRIBUTION_SQL = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(CAST(sum(abs(CAST({c} AS DECIMAL(18, 2)))) AS DOUBLE) / count({c}), 4) AS mean_size FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"))
 
+#: Object identifiers of code systems in the labels of ``label_codes``.
+_SYSTEMS = ("2.16.840.1.113883.6.69", "2.16.840.1.113883.4.9")
+
+
+def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of two systems in a label of each part: nested, repeated, empty, absent and of other systems."""
+    code = lambda value, system: F.concat(F.lit('<code code="'), value, F.lit(f'" codeSystem="{system}"/>'))
+    brand, size = F.col("p_brand"), F.col("p_size").cast("string")
+    product = F.concat(F.lit('<product xmlns="urn:x">'), code(F.concat(F.lit("N"), size), _SYSTEMS[0]), F.lit("<part>"), code(brand, _SYSTEMS[0]), code(brand, _SYSTEMS[0]), F.lit("</part></product>"))
+    other = F.concat(code(size, _SYSTEMS[1] + "9"), F.when(F.col("p_size") % 2 == 0, code(size, _SYSTEMS[1])).otherwise(code(F.lit(""), _SYSTEMS[1])), F.lit(f'<code codeSystem="{_SYSTEMS[1]}"/>'))
+    document = F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit('<?xml version="1.0"?><document>'), product, other, F.lit("</document>")))
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.array_join(xml.system_codes(document, s), ",").alias(n) for n, s in zip(("ndc", "unii"), _SYSTEMS, strict=True)])
+
+
+_CODES_SQL = """
+SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(['N' || p_size, p_brand])), ',') END AS ndc, CASE WHEN p_partkey % 9 <> 0 AND p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS unii FROM part
+"""
+
 QUERIES = {
+    "q96_label_codes": label_codes,
     "q76_property_lookup": property_lookup,
     "q77_pair_signal_lookup": pair_signal_lookup,
     "q78_label_flags": label_flags,
@@ -244,6 +264,7 @@ QUERIES = {
     "q90_contributions": contributions,
 }
 SQL = {
+    "q96_label_codes": _CODES_SQL,
     "q76_property_lookup": _PROPERTY_SQL,
     "q77_pair_signal_lookup": _PAIR_SIGNAL_SQL,
     "q78_label_flags": _FLAGS_SQL,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +37,70 @@ def read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+#: Kinds of a quarter's files, by how a file's name begins: fixed values.
+KINDS = ("demo", "drug", "reac", "outc", "indi")
+FAILURES = "quarter string, kind string, path string, reason string"
+
+
+def discover_quarters(spark: SparkSession, folder: str) -> DataFrame:
+    """quarter, kind and path of each file to read below ``folder``.
+
+    Quarters are its folders of four digits, Q and 1 to 4, in either case. A
+    file's kind is told by how its name begins, in either case. Of a name that
+    is there as .txt and .csv the latter counts; of several names of a kind
+    those with a .txt come first, then the least. Only names are listed, by
+    Spark, so the folder may lie on any file system; no content is read. Empty
+    files are not listed.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(f"{folder}/*/*").select("path")
+    parts = F.regexp_extract("path", r"(?i)/(\d{4}q[1-4])/([^/]+)\.(?:txt|csv)$", 1), F.lower(F.regexp_extract("path", r"/([^/]+)\.[^./]+$", 1))
+    rows = files.select("path", parts[0].alias("quarter"), parts[1].alias("stem"), F.lower(F.right("path", F.lit(3))).alias("type")).where("quarter <> ''")
+    stems = rows.groupBy("quarter", "stem").agg(F.min_by("path", F.struct("type", "path")).alias("path"), F.max(F.col("type") == "txt").alias("has_txt"))
+    kinds = stems.withColumn("kind", F.left("stem", F.lit(4))).where(F.col("kind").isin(*KINDS))
+    return kinds.groupBy("quarter", "kind").agg(F.min_by("path", F.struct(~F.col("has_txt"), "stem")).alias("path")).select(F.upper("quarter").alias("quarter"), "kind", "path")
+
+
+def read_quarters(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Of each kind found one table of all quarters, and a table of what is missing or could not be read.
+
+    A quarter that lacks a kind, and a file that Spark can't open or that has
+    no header or no report number (demographics, drugs, reactions, outcomes),
+    is a row of the second table with its reason; the others are still read.
+    The driver holds a row a file, as many as there are quarters times kinds.
+    """
+    found = {(r["quarter"], r["kind"]): r["path"] for r in discover_quarters(spark, folder).collect()}
+    good: dict[str, list[str]] = {}
+    failed = []
+    for quarter in sorted({q for q, _ in found}):
+        for kind in KINDS:
+            path = found.get((quarter, kind))
+            reason = "missing or empty" if path is None else _unfit(spark, path)
+            if reason is None:
+                good.setdefault(kind, []).append(path)
+            else:
+                failed.append((quarter, kind, path, reason))
+    return {kind: read_reports(spark, paths) for kind, paths in good.items()}, spark.createDataFrame(failed, FAILURES)
+
+
+def _unfit(spark: SparkSession, path: str) -> str | None:
+    try:
+        columns = {c.strip().lower() for c in read_reports(spark, [path]).columns} - {"quarter"}
+    except (AnalysisException, SparkRuntimeException, Py4JJavaError) as error:
+        return f"unreadable: {str(error).splitlines()[0]}"
+    if not columns:
+        return "no header"
+    return None if columns & {"primaryid", "isr"} else "no report number"
+
+
 def demographics(raw: DataFrame) -> DataFrame:
-    """report, case_id, version, age in years, sex and country: the latest version of each case."""
-    raw = raw.withColumn("_id", F.coalesce(*[F.col(c) for c in ("primaryid", "isr") if c in raw.columns]))
-    wanted = {"report": ["_id"], "case_id": ["caseid", "case"], "version": ["caseversion"], "age": ["age"], "age_unit": ["age_cod"], "sex": ["sex", "gndr_cod"], "country": ["reporter_country"], "quarter": ["quarter"]}
+    """report, case_id, version, age in years, sex and country: the latest version of each case.
+
+    Number, case and sex have other names in older quarters; each row has those of its own.
+    """
+    for name, known in (("_id", ("primaryid", "isr")), ("_case", ("caseid", "case")), ("_sex", ("sex", "gndr_cod"))):
+        if found := [F.col(c) for c in known if c in raw.columns]:
+            raw = raw.withColumn(name, F.coalesce(*found))
+    wanted = {"report": ["_id"], "case_id": ["_case"], "version": ["caseversion"], "age": ["age"], "age_unit": ["age_cod"], "sex": ["_sex"], "country": ["reporter_country"], "quarter": ["quarter"]}
     df = resolve_columns(raw, wanted, required=("report",)).where("report is not null")
     if "age" in df.columns:
         unit = F.col("age_unit") if "age_unit" in df.columns else F.lit("YR")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apothecary.functions import rules
@@ -35,6 +35,18 @@ SECTION_CODES = {
 _ENZYME = r"(?i)CYP\s?(1A2|2B6|2C8|2C9|2C19|2D6|2E1|3A4|3A5)"
 
 
+def system_codes(document: Column, system: str) -> Column:
+    """The different codes, sorted, of all elements of an XML text whose ``codeSystem`` is the given object identifier.
+
+    Elements without a code, or with an empty one, give none; a null document
+    gives an empty array; text that is no XML is an error of the query.
+    """
+    if not system.replace(".", "").replace("-", "").isalnum():
+        raise ValueError(f"no object identifier: {system}")
+    found = F.xpath(document, F.lit(f"//*[@codeSystem='{system}']/@code"))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(found, lambda c: c != ""))), F.array().cast("array<string>"))
+
+
 def read_drugs(spark: SparkSession, path: str) -> DataFrame:
     """Small molecules and biotech drugs with a primary id and a name, nested parts kept as arrays."""
     df = spark.read.format("xml").option("rowTag", "drug").schema(_DRUG).load(path).where(F.col("_type").isin("small molecule", "biotech"))

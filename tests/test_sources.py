@@ -70,3 +70,39 @@ def test_streams(spark, tmp_path):
     routed = alerts.routed(rows, {"error": 3})
     assert routed.select("routed_to").first()[0][-1] == "ehr"
     assert signals.with_outcome(spark.createDataFrame([("de",)], "code string")).first()["label"] == "death"
+
+
+def test_quarters_are_found_and_bad_files_are_told(spark, tmp_path):
+    def put(path, content):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(content, encoding="latin-1")
+
+    put("2023q4/DEMO23Q4.txt", "primaryid$ CaseID $age\n1$10$50\n")
+    put("2023q4/Drug23Q4.txt", "primaryid$drugname$role_cod\n1$OLD$PS\n")
+    put("2023q4/drug23q4.csv", "primaryid$drugname$role_cod\n1$NEW$PS\n")
+    put("2023q4/reac23q4.txt", "pt\nRash\n")
+    put("2024Q1/demo24q1.txt", "isr$case$gndr_cod\n2$20$F\n")
+    put("2024Q1/demo_again.txt", "isr$case\n9$90\n")
+    put("2024Q1/demo.csv", "isr$case\n8$80\n")
+    put("2024Q1/outc24q1.txt", "\n\n")
+    put("2024Q1/drug24q1.txt", "")
+    put("2024Q1/readme.txt", "no table")
+    put("2024Q5/demo.txt", "primaryid\n5\n")
+    put("old 2022Q1/demo.txt", "primaryid\n6\n")
+    found = {(r["quarter"], r["kind"], r["path"].rsplit("/", 1)[1]) for r in reports.discover_quarters(spark, str(tmp_path)).collect()}
+    assert found == {("2023Q4", "demo", "DEMO23Q4.txt"), ("2023Q4", "drug", "drug23q4.csv"), ("2023Q4", "reac", "reac23q4.txt"), ("2024Q1", "demo", "demo24q1.txt"), ("2024Q1", "outc", "outc24q1.txt")}
+    tables_, failed = reports.read_quarters(spark, str(tmp_path))
+    assert set(tables_) == {"demo", "drug"}
+    assert sorted((r["report"], r["case_id"], r["quarter"]) for r in reports.demographics(tables_["demo"]).collect()) == [("1", "10", "2023Q4"), ("2", "20", "2024Q1")]
+    assert [r["drug"] for r in reports.drugs(tables_["drug"]).collect()] == ["NEW"]
+    told = {(r["quarter"], r["kind"]): r["reason"] for r in failed.collect()}
+    assert told.pop(("2023Q4", "reac")) == "no report number" and told.pop(("2024Q1", "outc")) == "no header"
+    assert told == {(q, k): "missing or empty" for q, k in (("2023Q4", "outc"), ("2023Q4", "indi"), ("2024Q1", "drug"), ("2024Q1", "reac"), ("2024Q1", "indi"))}
+
+
+def test_codes_of_a_system(spark):
+    text = '<d xmlns="urn:hl7-org:v3"><code code="b" codeSystem="1.2"/><x><code code="a" codeSystem="1.2" /><code code="b" codeSystem="1.2"/></x><code code="c" codeSystem="1.20"/><y codeSystem="1.2"/></d>'
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "<d/>")], "id int, text string")
+    assert {r["id"]: r["codes"] for r in rows.select("id", xml.system_codes(F.col("text"), "1.2").alias("codes")).collect()} == {1: ["a", "b"], 2: [], 3: []}
+    with pytest.raises(ValueError, match="no object identifier"):
+        xml.system_codes(F.col("text"), "1.2' or '1")
