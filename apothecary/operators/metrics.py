@@ -72,17 +72,9 @@ def overall_scores(df: DataFrame, actual: str, predicted: str, severity: str, gu
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``place`` from 0 in ascending order of a numeric column without repeats.
-
-    Places are counted in 4096 slices of equal width between the column's ends,
-    so that no task sorts everything; only the slices' counts meet in one.
-    """
-    ends = df.agg(F.min(order).alias("_low"), ((F.max(order) - F.min(order)) / 4096 + 1e-9).alias("_width"))
-    sliced = df.join(F.broadcast(ends)).withColumn("_slice", F.floor((F.col(order) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = counts.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_slice").orderBy(order)) - 1
-    return sliced.withColumn("_at", within).join(F.broadcast(before), "_slice").withColumn("place", F.col("_before") + F.col("_at")).drop("_slice", "_before", "_at")
+    """``df`` with ``place`` from 0 in ascending order of a column without repeats, counted over ranges of the order."""
+    counted = running_sums(df.withColumn("_one", F.lit(1)), [F.col(order)], {"place": "_one"})
+    return counted.withColumn("place", F.col("place") - 1).drop("_one")
 
 
 def _areas(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

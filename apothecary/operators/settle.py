@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder in ``spark.checkpoint.dir``, with its lineage cut.
 
-    Local masters without that setting get a folder of their own; other
+    The files stay until that folder is cleared. Local masters without that setting get a folder of their own; other
     masters share no local folders, so there it is an error.
     """
     context = df.sparkSession.sparkContext

@@ -95,3 +95,9 @@ def test_parameters_of_no_rows(spark):
     got = {p["feature"]: (p["median"], p["cap"], p["mean"], p["deviation"]) for p in matrix.fit(df, ["mw", "n"], ("mw",), {"mw": "mw"}).collect()}
     assert got == {"mw": (0.0, 0.0, 0.0, 1.0), "n": (None, None, 0.0, 1.0)}
     assert not any(math.isnan(x) for row in got.values() for x in row if x is not None)
+
+
+def test_places_of_skewed_values(spark):
+    values = [0, 10**15, *range(5, 900, 3), -(10**12)]
+    got = {r["x"]: r["place"] for r in metrics.numbered(spark.createDataFrame([(v,) for v in values], "x long").repartition(3), "x").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(values))}
