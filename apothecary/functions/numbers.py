@@ -57,6 +57,16 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to so many places as SQL engines do it: the double times a power of ten, to a whole number (halves away from zero), over that power.
+
+    ``F.round`` goes by the decimal text of the double, so that 57 of 800 (0.07125, whose product is 712.4999...) comes
+    out as 0.0713 instead of 0.0712. A negative value that comes out as zero is -0.0, as in SQL.
+    """
+    power = 10.0**places
+    return F.signum(x) * (F.round(F.abs(x) * power) / power)
+
+
 def pair_key(a: Column, b: Column) -> Column:
     """The same key for (a, b) and (b, a), whatever their case; null if either is null."""
     x, y = F.lower(a), F.lower(b)

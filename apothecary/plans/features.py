@@ -36,9 +36,9 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "drug_a", "drug_b",
         numbers.gap(F.col("size_a"), F.col("size_b")).alias("size_gap"),
-        F.round(numbers.ratio(F.col("price_a"), F.col("price_b")), 6).alias("price_ratio"),
+        numbers.rounded(numbers.ratio(F.col("price_a"), F.col("price_b")), 6).alias("price_ratio"),
         F.round(F.log1p("report_count"), 6).alias("signal"),
-        F.round(F.col("death_count") / F.col("report_count"), 6).alias("death_rate"),
+        numbers.rounded(F.col("death_count") / F.col("report_count"), 6).alias("death_rate"),
     )
 
 
@@ -73,11 +73,11 @@ def paired_figures(pairs: DataFrame, props: DataFrame) -> DataFrame:
     return pairs.select(
         "drug_a", "drug_b",
         *[filled(F.col(f"_{c}_{side}")).alias(f"{c}_{side}") for c in figures for side in "ab"],
-        *[filled(F.round(numbers.gap(a[c], b[c]), 4)).alias(f"{c}_diff") for c in ("mw", "logp", "binding")],
-        *[filled(F.round(numbers.ratio(a[c], b[c]), 4), 1.0).alias(f"{c}_ratio") for c in ("mw", "logp", "life")],
+        *[filled(numbers.rounded(numbers.gap(a[c], b[c]), 4)).alias(f"{c}_diff") for c in ("mw", "logp", "binding")],
+        *[filled(numbers.rounded(numbers.ratio(a[c], b[c]), 4), 1.0).alias(f"{c}_ratio") for c in ("mw", "logp", "life")],
         (of_kind("a", "small") & of_kind("b", "small")).cast("int").alias("both_small"), (of_kind("a", "biotech") | of_kind("b", "biotech")).cast("int").alias("one_biologic"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("report_count", "death_count", "max_severity")],
-        filled(F.round(F.col("death_count") / reports, 4)).alias("death_rate"), filled(F.round(F.log1p("report_count"), 4)).alias("signal_strength"), F.col("report_count").isNotNull().cast("int").alias("pair_seen"),
+        filled(numbers.rounded(F.col("death_count") / reports, 4)).alias("death_rate"), filled(F.round(F.log1p("report_count"), 4)).alias("signal_strength"), F.col("report_count").isNotNull().cast("int").alias("pair_seen"),
         flag("_boxed_a").alias("boxed_a"), flag("_boxed_b").alias("boxed_b"), F.greatest(flag("_boxed_a"), flag("_boxed_b")).alias("either_boxed"), flag("_interacts_a").alias("interacts_a"), flag("_interacts_b").alias("interacts_b"), flag("_known_a").alias("known_a"), flag("_known_b").alias("known_b"),
         F.round(present / 8, 3).alias("completeness"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apothecary.functions import rules
-from apothecary.functions.numbers import pair_key
+from apothecary.functions.numbers import pair_key, rounded
 from apothecary.operators import matrix, metrics, profiles
 from apothecary.operators.settle import settled
 from apothecary.plans import clinical, features
@@ -58,12 +58,12 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_features(spark, sf_dir)
     parameters = _fitted(rows)
     scaled = matrix.scaled(rows, parameters)
-    return scaled.select("drug_a", "drug_b", "severity", "split", *[F.round(c, 6).alias(c) for c in matrix.feature_columns(rows, ("severity",))])
+    return scaled.select("drug_a", "drug_b", "severity", "split", *[rounded(F.col(c), 6).alias(c) for c in matrix.feature_columns(rows, ("severity",))])
 
 
 def feature_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = _fitted(labelled_features(spark, sf_dir))
-    return fitted.select("position", "feature", *[F.round(c, 6).alias(c) for c in ("median", "cap", "mean", "deviation")])
+    return fitted.select("position", "feature", *[rounded(F.col(c), 6).alias(c) for c in ("median", "cap", "mean", "deviation")])
 
 
 FEATURES = (

@@ -2,10 +2,12 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from apothecary.functions import names, numbers, rules, text, vectors
+from apothecary.plans import features
 from tests.conftest import SMALL
 
 
@@ -103,6 +105,21 @@ def test_pair_key_is_symmetric_and_null_safe(spark):
     assert one(spark, numbers.pair_key(F.lit("B"), F.lit(None).cast("string"))) is None
 
 
+def test_quotients_are_rounded_as_in_sql(spark):
+    """57 of 800 deaths: the product with 10,000 lies under 712.5, though its decimal text is a half."""
+    said = [(57, 800), (69, 800), (1, 160), (5, 3), (-1, 10**9), (0, 7), (None, 3)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(said)], "i int, d long, r long")
+    got = [r[0] for r in df.orderBy("i").select(numbers.rounded(F.col("d") / F.col("r"), 4)).collect()]
+    want = [r[0] for r in duckdb.sql("select round(d / r, 4) from (values " + ", ".join(f"({i}, {'NULL' if d is None else d}, {r})" for i, (d, r) in enumerate(said)) + ") x(i, d, r) order by i").fetchall()]
+    assert [str(x) for x in got] == [str(x) for x in want]
+
+
+def test_a_rate_on_the_half_equals_its_sql(spark):
+    pairs = spark.createDataFrame([("x", "y", 800, 57, 5)], "drug_a string, drug_b string, report_count long, death_count long, max_severity int")
+    props = spark.createDataFrame([], "drug string, mw double, logp double, binding double, life double, kind string, boxed int, interacts int, known int")
+    assert features.paired_figures(pairs, props).first()["death_rate"] == duckdb.sql("select round(57 / 800, 4)").fetchall()[0][0]
+
+
 def test_age(spark):
     assert one(spark, rules.age_years(F.lit("24"), F.lit("MON"))) == 2
     assert one(spark, rules.age_years(F.lit("999"), F.lit("YR"))) is None
