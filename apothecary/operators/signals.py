@@ -19,11 +19,26 @@ def worst_outcomes(outcomes: DataFrame, report: str = "report") -> DataFrame:
     return with_outcome(outcomes.where(F.col(report).isNotNull())).groupBy(report).agg(F.min_by("label", rank).alias("worst_outcome"), F.max("weight").alias("max_severity"))
 
 
-def drug_event_signal(drugs: DataFrame, events: DataFrame, worst: DataFrame) -> DataFrame:
-    """Reports, mean and greatest severity of each (drug, event); a report without an outcome counts as 1."""
-    rows = drugs.where("report is not null").join(events, "report").join(worst.select("report", "max_severity"), "report", "left")
-    severity = F.coalesce("max_severity", F.lit(1))
-    return rows.groupBy("drug", "event").agg(F.countDistinct("report").alias("report_count"), F.avg(severity).alias("avg_severity"), F.max(severity).alias("max_severity"))
+def by_report(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows that name a report, each report's in one of ``tasks`` tasks; without a number Spark chooses one."""
+    return rows.where("report is not null").repartition(*([tasks] if tasks else []), "report")
+
+
+def drug_event_signal(drugs: DataFrame, events: DataFrame, worst: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Reports, mean and greatest severity of each (drug, event); a report without an outcome counts as 1.
+
+    The mean is over all pairs of a drug row with an event row of a report.
+    Each report's distinct drugs and events come with their number of rows, so
+    a (drug, event) has one row a report and every figure is a partial sum: no
+    table of the reports of each pair is kept. ``tasks`` is the number of tasks
+    that the reports are dealt to.
+    """
+    a = by_report(drugs, tasks).groupBy("report", "drug").agg(F.count("*").alias("_a"))
+    b = by_report(events, tasks).groupBy("report", "event").agg(F.count("*").alias("_b"))
+    severity, n = F.coalesce("max_severity", F.lit(1)), F.col("_a") * F.col("_b")
+    rows = a.join(b, "report").join(worst.select("report", "max_severity"), "report", "left")
+    found = rows.groupBy("drug", "event").agg(F.count("*").alias("report_count"), F.sum(n * severity).alias("_sum"), F.sum(n).alias("_n"), F.max(severity).alias("max_severity"))
+    return found.select("drug", "event", "report_count", (F.col("_sum") / F.col("_n")).alias("avg_severity"), "max_severity")
 
 
 def pair_cooccurrence(drugs: DataFrame, outcomes: DataFrame, least: int = 5) -> DataFrame:

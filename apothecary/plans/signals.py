@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apothecary.functions.numbers import pair_key
 from apothecary.operators import dedup, pairs, signals, stores
+from apothecary.operators.tasks import tasks_for
 from apothecary.sources.tables import table
 
 _CODE_SQL = "CASE l_returnflag WHEN 'A' THEN 'DE' WHEN 'R' THEN 'HO' ELSE 'OT' END"
@@ -45,8 +46,9 @@ GROUP BY 1, 2 HAVING count(DISTINCT a.report) >= 5
 
 
 def drug_event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    worst = signals.worst_outcomes(outcomes(spark, sf_dir))
-    return signals.drug_event_signal(drugs(spark, sf_dir), events(spark, sf_dir), worst)
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    worst = signals.worst_outcomes(signals.by_report(outcomes(spark, sf_dir), tasks))
+    return signals.drug_event_signal(drugs(spark, sf_dir), events(spark, sf_dir), worst, tasks)
 
 
 _EVENTS_SQL = f"""
