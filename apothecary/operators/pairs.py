@@ -22,10 +22,26 @@ def combinations(lists: DataFrame, owner: str, member: str) -> DataFrame:
 
 def sweep(new: DataFrame, known: DataFrame, owner: str, member: str) -> DataFrame:
     """Distinct unordered pairs of each owner's new members with each other and with the known ones."""
-    new = new.where(F.col(member).isNotNull()).select(owner, F.col(member).alias("x")).distinct()
-    everything = known.select(owner, F.col(member).alias("y")).union(new.select(owner, F.col("x").alias("y"))).where("y is not null").distinct()
-    pairs = new.join(everything, owner).where("x <> y")
-    return pairs.select(owner, F.least("x", "y").alias("drug_a"), F.greatest("x", "y").alias("drug_b")).distinct()
+    both = new.select(owner, member, F.lit(True).alias("_new")).union(known.select(owner, member, F.lit(False)))
+    return sweep_marked(both, owner, member, "_new")
+
+
+def sweep_marked(rows: DataFrame, owner: str, member: str, new: str, tasks: int | None = None) -> DataFrame:
+    """``sweep`` over one table whose boolean column ``new`` tells new members (null: known ones).
+
+    Pairs are made in the row of an owner from its distinct members: each comes
+    once, so no table of the pairs of all owners is sorted or hashed. ``tasks``
+    is the number of tasks that the owners are dealt to; without it Spark
+    chooses one.
+    """
+    rows = rows.where(F.col(owner).isNotNull() & F.col(member).isNotNull()).select(owner, F.col(member).alias("_x"), F.coalesce(F.col(new), F.lit(False)).alias("_new"))
+    rows = rows.repartition(*([tasks] if tasks else []), owner)
+    lists = rows.groupBy(owner).agg(F.collect_set(F.when(F.col("_new"), F.col("_x"))).alias("_fresh"), F.collect_set(F.when(~F.col("_new"), F.col("_x"))).alias("_known"))
+    lists = lists.where(F.size("_fresh") > 0).select(owner, "_fresh", F.array_except("_known", "_fresh").alias("_rest"))
+    firsts = lists.select(owner, "_fresh", "_rest", F.posexplode("_fresh").alias("_at", "_x"))
+    after = F.slice("_fresh", F.col("_at") + 2, F.greatest(F.lit(0), F.size("_fresh") - F.col("_at") - 1))
+    pairs = firsts.select(owner, "_x", F.explode(F.concat(after, "_rest")).alias("_y"))
+    return pairs.select(owner, F.least("_x", "_y").alias("drug_a"), F.greatest("_x", "_y").alias("drug_b"))
 
 
 def lookup(pairs: DataFrame, table: DataFrame, a: str, b: str, columns: list[str], table_a: str = "drug_a", table_b: str = "drug_b") -> DataFrame:

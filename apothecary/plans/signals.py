@@ -170,8 +170,9 @@ SELECT a.o_orderkey, a.p_name AS drug_a, b.p_name AS drug_b FROM d a JOIN d b ON
 
 
 def proactive_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = _lists(spark, sf_dir)
-    return pairs.sweep(lists.where("o_orderstatus = 'O'"), lists.where("o_orderstatus <> 'O'"), "o_custkey", "p_name").groupBy("drug_a", "drug_b").agg(F.count("*").alias("n_owners"))
+    marked = _lists(spark, sf_dir).withColumn("fresh", F.coalesce(F.col("o_orderstatus") == "O", F.lit(False)))
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    return pairs.sweep_marked(marked, "o_custkey", "p_name", "fresh", tasks).groupBy("drug_a", "drug_b").agg(F.count("*").alias("n_owners"))
 
 
 _SWEEP_SQL = """
