@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apothecary.functions import cyp, names, rules, text
 from apothecary.functions.numbers import pair_key
 from apothecary.operators import dedup, graph, metrics, profiles, resolution, retrieval
+from apothecary.operators.tasks import tasks_for
 from apothecary.plans import features, search
 from apothecary.plans.signals import SQL as SIGNALS
 from apothecary.plans.signals import pair_cooccurrence
@@ -286,10 +287,15 @@ def prior_alert_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items, parts = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     rows = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     read = F.when(F.col("l_tax") < 0.07, F.col("l_linestatus") == "F")
-    prior = rows.select("o_custkey", pair_key(F.col("p_name"), F.col("p_brand")).alias("pair"), read.alias("read"))
-    prior = prior.groupBy("o_custkey", "pair").agg(F.bool_or(~F.coalesce("read", F.lit(True))).alias("strict"), F.bool_or(~F.coalesce("read", F.lit(False))).alias("loose"), F.count("*").alias("n_alerts"))
-    asked = rows.where("l_returnflag = 'R'").select("o_custkey", F.upper("p_brand").alias("drug_a"), F.col("p_name").alias("drug_b")).distinct().withColumn("pair", pair_key(F.col("drug_a"), F.col("drug_b")))
-    return asked.join(prior, ["o_custkey", "pair"], "left").drop("pair")
+    rows = rows.select("o_custkey", F.upper("p_brand").alias("drug_a"), F.col("p_name").alias("drug_b"), pair_key(F.col("p_name"), F.col("p_brand")).alias("pair"), read.alias("read"), (F.col("l_returnflag") == "R").alias("asked"))
+    rows = rows.repartition(tasks_for(table(spark, sf_dir, "lineitem")), "o_custkey")
+    # Alerts of a pair in its spellings, so that those asked for need no second pass: all of a customer lie in one task.
+    spelt = rows.groupBy("o_custkey", "pair", "drug_a", "drug_b").agg(F.bool_or(~F.coalesce("read", F.lit(True))).alias("strict"), F.bool_or(~F.coalesce("read", F.lit(False))).alias("loose"), F.count("*").alias("n_alerts"), F.bool_or("asked").alias("asked"))
+    pair = Window.partitionBy("o_custkey", "pair")
+    prior = {"strict": F.bool_or("strict"), "loose": F.bool_or("loose"), "n_alerts": F.sum("n_alerts")}
+    known = F.col("o_custkey").isNotNull() & F.col("pair").isNotNull()
+    whole = spelt.withColumns({c: F.when(known, how.over(pair)) for c, how in prior.items()})
+    return whole.where("asked").select("o_custkey", "drug_a", "drug_b", *prior)
 
 
 _PRIOR_SQL = """
